@@ -54,15 +54,15 @@ def _op5_sql() -> str:
         cut = rf"(?s)(.*?)(?:({pattern})|\z)".replace("'", "''")
         value = f"regexp_extract_all(t, '{cut}', 3)" if group else "found"
         parts.append(
-            f"SELECT doc_id, '{kind}' AS kind, {at} AS at, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS b, length(found[i]) AS n "
+            f"SELECT doc_id, '{kind}' AS kind, {at} AS kat, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS b, length(found[i]) AS n "
             f"FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM (SELECT *, {value} AS vals FROM (SELECT doc_id, t, regexp_extract_all(t, '{cut}', 1) AS gaps, regexp_extract_all(t, '{cut}', 2) AS found FROM d))) "
             f"WHERE length(found[i]) > 0 AND length(vals[i]) >= {least}"
         )
     spell = "kind || ':' || cast(b AS BIGINT) || ':' || cast(b + n AS BIGINT)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)}),
-g AS (SELECT doc_id, count(*) FILTER (at = 0) AS a, count(*) FILTER (at = 1) AS k, count(*) FILTER (at = 2) AS h,
-  coalesce(string_agg({spell}, ',' ORDER BY b, at) FILTER (at < 3), '') AS base, string_agg({spell}, ',' ORDER BY b, at) AS spans FROM s GROUP BY doc_id)
+g AS (SELECT doc_id, count(*) FILTER (WHERE kat = 0) AS a, count(*) FILTER (WHERE kat = 1) AS k, count(*) FILTER (WHERE kat = 2) AS h,
+  coalesce(string_agg({spell}, ',' ORDER BY b, kat) FILTER (WHERE kat < 3), '') AS base, string_agg({spell}, ',' ORDER BY b, kat) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (doc_id)"""
 
