@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from rangelake.llm.bpe import bpe_encode
 from rangelake.llm.common import LOWER, UPPER, table
 from rangelake.llm.exact_dedup import exact_dedup
+from rangelake.llm.langid import fit_unigrams, identify
+from rangelake.llm.line_dedup import LEAST_WORDS, repeated_units
 from rangelake.llm.packing import pack_documents
+from rangelake.llm.quality_gam import fit_quality_gam, quality_scores
+from rangelake.llm.quality_rules import fit_quality_rules, quality_rules
 from rangelake.llm.secrets import RULES, scan_secrets
 from rangelake.llm.token_counts import token_counts
 
@@ -25,6 +29,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, all_digests=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _crc(mod: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_unigrams(docs.filter(_crc(5) != 0), PIECES)
+    return identify(docs, model).select("doc_id", (_crc(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality_rules(docs, table(spark, sf_dir, "labels"))
+    return quality_rules(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -36,15 +56,25 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality_gam(docs.filter(_crc(4) != 2), table(spark, sf_dir, "labels"))
+    return quality_scores(docs, model).select("doc_id", (_crc(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op5_secret_scan, op8_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_quality_rules, op5_secret_scan, op6_line_dedup, op8_token_counts, op9_quality_gam, op10_packing)}
 
 
 def _op5_sql() -> str:
@@ -73,4 +103,15 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op5_secret_scan": _op5_sql(),
+    "op6_line_dedup": rf"""
+WITH d AS (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, ls[i] AS t, cast(coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS b FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+s AS (SELECT doc_id, b AS lb, t AS lt, regexp_extract_all(t, '[^.!?]*[.!?]+|[^.!?]+') AS ss FROM l),
+u AS (SELECT doc_id, 'line' AS level, b, t FROM l UNION ALL
+  SELECT doc_id, 'sentence', cast(lb + coalesce(list_sum(list_transform(ss[1:i-1], lambda x: length(x))), 0) AS BIGINT), ss[i] FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s WHERE len(ss) > 1 AND len(regexp_extract_all(lt, '[^\x20\x09-\x0D]+')) >= {LEAST_WORDS})),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM u),
+n AS (SELECT doc_id, level, b, length(t) AS len, len(ws) AS n_words, translate(array_to_string(ws, ' '), '{UPPER}', '{LOWER}') AS norm FROM w WHERE len(ws) >= {LEAST_WORDS}),
+r AS (SELECT *, first(doc_id) OVER p AS keep_doc_id, first(b) OVER p AS keep_start FROM n WINDOW p AS (PARTITION BY level, norm ORDER BY doc_id, b))
+SELECT doc_id, level, cast(b AS INT) AS start, cast(b + len AS INT) AS "end", cast(n_words AS INT) AS n_words, keep_doc_id, cast(keep_start AS INT) AS keep_start
+FROM r WHERE doc_id <> keep_doc_id OR b <> keep_start""",
 }
