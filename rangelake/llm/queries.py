@@ -11,6 +11,7 @@ from rangelake.llm.common import LOWER, UPPER, table
 from rangelake.llm.exact_dedup import exact_dedup
 from rangelake.llm.langid import fit_unigrams, identify
 from rangelake.llm.line_dedup import LEAST_WORDS, repeated_units
+from rangelake.llm.minhash import near_duplicates
 from rangelake.llm.packing import pack_documents
 from rangelake.llm.quality_gam import fit_quality_gam, quality_scores
 from rangelake.llm.quality_rules import fit_quality_rules, quality_rules
@@ -60,6 +61,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES)
 
@@ -74,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_quality_rules, op5_secret_scan, op6_line_dedup, op8_token_counts, op9_quality_gam, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_quality_rules, op5_secret_scan, op6_line_dedup, op7_minhash_dedup, op8_token_counts, op9_quality_gam, op10_packing)}
 
 
 def _op5_sql() -> str:
