@@ -255,3 +255,15 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     own = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "node").join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
     edges = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     return relabel(comp.union(own), components(edges)).checkpoint()
+
+
+def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents that near_duplicates() doesn't keep; one of each component stays.
+
+    A row whose doc_id is null stays. Only rows whose doc_id may be among the dropped ones, by a Bloom
+    filter, are joined; all other texts stay where they are read.
+    """
+    gone = near_duplicates(docs, width=width, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).checkpoint()
+    key = F.xxhash64("doc_id")
+    marked = may_have(docs.withColumn("_key", key), key_filter(gone.select(F.xxhash64("_gone").alias("_key")), "_key"), "_key", "_hit")
+    return marked.filter("not _hit").select(docs.columns).union(marked.filter("_hit").select(docs.columns).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
