@@ -6,11 +6,12 @@ the fewest matches that a linked pair is let have. Two nodes with T matches shar
 postings, in whatever order a prefix is taken, as long as all take the same. Values that a sample of
 nodes finds common come last in that order, so long lists are skipped.
 
-A list isn't expanded into all its pairs. Its nodes are first matched with one pivot each; links found
-so make components, and what is compared after that are only nodes of different components that share
-lists, all of which are: a list within one component has nothing left to give. Components are exact
-but for links that have fewer than T matches (for 64 coordinates and links at the limit, under one in
-a million).
+A list isn't expanded into all its pairs. Its nodes are first matched with a few pivots each; pairs with
+T matches make clusters, and where a list holds several clusters, all pairs across them that share
+OVERLAP lists are counted and merged in, so that any pair with T matches is within one cluster. In a
+cluster each node is first checked against its best match; the components so found are then compared
+block by block, and a block tells one link per node and component. Components are exact but for links
+that have fewer than T matches (for 64 coordinates and links at the limit, under one in a million).
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 _draw = np.random.default_rng(20240229)
 FACTORS, SALTS = _draw.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1), _draw.integers(0, 1 << 63, COORDINATES, np.uint64)
 WORDS_KEPT = 500_000
+#: Hashes on each side of a block of comparisons, and columns of its matrices at a time.
+BLOCK, COLUMNS = 200_000, 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -201,16 +204,12 @@ def _postings(nodes: DataFrame, least: int) -> DataFrame:
 
 
 def _components(docs: DataFrame, nodes: DataFrame, width: int, percent: int, least: int) -> DataFrame:
-    """(node, comp) of the nodes that have links."""
+    """(node, comp) of the nodes that have a pair with enough matches."""
     post = _postings(nodes, least).select("node", F.explode("keys").alias("key"))
     shared = post.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
     live = may_have(post, key_filter(shared, "key"), "key", "_hit").filter("_hit").select("key", "node").checkpoint()
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-        return _sets(docs, nodes.select("node", "doc_id", "hi", "lo").join(ends, "node", "left_semi"), width).checkpoint()
-
-    # 1. every node with the pivots of its lists: the best of them first, then those of other components
+    # 1. every node with the pivots of its lists: pairs with enough matches make clusters
     stars = None
     for seed in range(SEEDS):
         order = F.xxhash64("node", "key", F.lit(seed))
@@ -218,37 +217,99 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, percent: int, lea
         star = live.join(pivots, "key").filter("node <> pivot").select("node", "pivot").distinct()
         stars = star if stars is None else stars.union(star)
     tried = _alike(_pairs(stars, "node", "pivot").distinct(), nodes, percent, least).checkpoint()
-    sets = sets_for(tried)
-    either = tried.union(tried.select("b", "a", "matches"))
-    best = either.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    cluster = components(tried)
+
+    # 2. lists that hold several clusters: all pairs across them, each node outside the largest with all others
+    across = _alike(_across(live, cluster), nodes, percent, least).checkpoint()
+    cluster = _merged(cluster, across)
+
+    # 3. within clusters: each node with its best match, then what isn't one component yet, in blocks
+    ends = nodes.join(cluster, "node").select("node", "doc_id", "hi", "lo")
+    sets = _sets(docs, ends, width).checkpoint()
+    pairs = tried.union(across)
+    best = pairs.union(pairs.select("b", "a", "matches")).groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     comp = components(_links(_pairs(best, "a", "b").distinct(), sets, percent).checkpoint())
-    apart = _apart(tried.select("a", "b"), comp)
-    comp = _merged(comp, _links(apart, sets, percent))
+    return _merged(comp, _links_in_blocks(cluster, comp, sets, percent))
 
-    # 2. lists that still hold several components: all pairs across them, each node outside the largest with all others
-    labelled = live.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+
+def _across(live: DataFrame, cluster: DataFrame) -> DataFrame:
+    """Pairs of different clusters that share at least OVERLAP lists."""
+    labelled = live.join(cluster, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     counts = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
     mixed = labelled.join(largest, "key").checkpoint()
     other = mixed.filter("comp <> main").select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-    across = mixed.join(other, F.col("key") == F.col("_key")).filter((F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("_node"))))
-    counted = _pairs(across, "node", "_node").groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= OVERLAP)
-    rest = _alike(counted.select("a", "b"), nodes, percent, least).join(tried.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
-    if rest.isEmpty():
-        return comp
-    return _merged(comp, _links(rest, sets_for(rest), percent))
-
+    pairs = mixed.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("_node"))))
+    return _pairs(pairs, "node", "_node").groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= OVERLAP).select("a", "b")
+
+
+def linked(items: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.ndarray:
+    """[i, j]: whether items[i] and other[j] are linked; shared hashes are counted by a product of incidence matrices, some columns at a time."""
+    na, nb = np.array([len(x) for x in items]), np.array([len(x) for x in other])
+    fa, fb = np.concatenate(items), np.concatenate(other)
+    vocab = np.intersect1d(fa, fb)
+    shared = np.zeros((len(items), len(other)), np.float32)
+
+    def entries(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(vocab, flat), max(0, len(vocab) - 1))
+        have = vocab[at] == flat
+        return np.repeat(np.arange(len(sizes)), sizes)[have], at[have]
+
+    if len(vocab):
+        (ra, ca), (rb, cb) = entries(fa, na), entries(fb, nb)
+        for k in range(0, len(vocab), COLUMNS):
+            a, b = np.zeros((len(items), COLUMNS), np.float32), np.zeros((len(other), COLUMNS), np.float32)
+            for m, r, c in ((a, ra, ca), (b, rb, cb)):
+                own = (c >= k) & (c < k + COLUMNS)
+                m[r[own], c[own] - k] = 1
+            shared += a @ b.T
+    return 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
+
+
+def _links_in_blocks(cluster: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one cluster; enough of them to join all that are linked.
+
+    Of each cluster with several components, the nodes outside its largest one are compared with all
+    its nodes, in blocks of about BLOCK hashes on either side; small clusters share a block. A block
+    gives one link at most for each node and component, so links within dense clusters aren't
+    expanded.
+    """
+    own = cluster.withColumnRenamed("comp", "cluster").join(comp, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
+    parts = own.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    torn = parts.groupBy("cluster").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("cluster", F.col("m.comp").alias("main"))
+    member = own.join(torn, "cluster").join(sets, "node").withColumn("other", F.col("comp") != F.col("main")).checkpoint()
+    sizes = member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(
+        F.ceil(F.sum(F.size("items")) / BLOCK).alias("all_blocks"), F.ceil(F.sum(F.when(F.col("other"), F.size("items"))) / BLOCK).alias("other_blocks"), F.sum(F.size("items")).alias("total")
+    ).drop("_").checkpoint()
+    small = sizes.filter("all_blocks = 1").agg(F.coalesce(F.ceil(F.sum("total") / BLOCK), F.lit(1)).alias("n")).first()["n"]
+    placed = member.join(sizes, "cluster")
+    # a block is (x, y): x is one of the small clusters' bins, or the cluster; y numbers its pairs of blocks
+    x = F.when(F.col("all_blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(small)) - F.lit(small)).otherwise(F.col("cluster"))
+    row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("other_blocks"))
+    column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("all_blocks"))
+    as_other = placed.filter("other").withColumn("y", F.explode(F.expr("transform(sequence(0L, all_blocks - 1), k -> k)"))).select(x.alias("x"), (row * F.col("all_blocks") + F.col("y")).alias("y"), "cluster", "node", "comp", "items", F.lit(True).alias("left"))
+    as_any = placed.withColumn("y", F.explode(F.expr("transform(sequence(0L, other_blocks - 1), k -> k)"))).select(x.alias("x"), (F.col("y") * F.col("all_blocks") + column).alias("y"), "cluster", "node", "comp", "items", F.lit(False).alias("left"))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in pdf.groupby("cluster", sort=False):
+            left, right = part[part["left"]], part[~part["left"]]
+            if not len(left) or not len(right):
+                continue
+            hit = linked(list(left["items"]), list(right["items"]), percent)
+            lc, rc = left["comp"].to_numpy(), right["comp"].to_numpy()
+            i, j = np.nonzero(hit & (lc[:, None] != rc[None, :]))
+            if len(i):
+                _, first = np.unique(np.stack([i, rc[j]]), axis=1, return_index=True)
+                out.append(pd.DataFrame({"a": left["node"].to_numpy()[i[first]], "b": right["node"].to_numpy()[j[first]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """pairs whose ends are in different components."""
-    side = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return as_other.union(as_any).groupBy("x", "y").applyInPandas(block, "a long, b long")
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp with the components joined that links connect."""
-    links = links.checkpoint()
+    links = links.select("a", "b").checkpoint()
     if links.isEmpty():
         return comp
     side = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
