@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +38,29 @@ def ready(spark: SparkSession) -> None:
         sc._rangelake_shipped = True
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, written as Parquet under the checkpoint folder and read again.
+
+    Like checkpoint() this cuts lineage and survives lost executors. Unlike it, it also drops what the
+    optimizer has inferred about the columns, which in iterated joins grows until planning stands
+    still. The files go when the session ends.
+    """
+    spark = df.sparkSession
+    ready(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone, and the folder with it
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

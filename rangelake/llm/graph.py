@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangelake.llm.common import cut
+
 
 def _follow(pointers: DataFrame) -> DataFrame:
     """One pointer jump: v -> to -> to's own target."""
@@ -17,22 +19,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node to its smallest neighbour, follows the pointers twice and contracts
     the edges along them, until none is left. Nodes of high degree meet pre-aggregated in the minimum,
-    and in joins against one row per node. Each round is checkpointed.
+    and in joins against one row per node. What a round makes is written and read again.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     out = None
     while True:
         both = edges.union(edges.select("b", "a"))
         pointers = both.groupBy("a", F.pmod("a", F.lit(2)).alias("_")).agg(F.min("b").alias("to")).select(F.col("a").alias("v"), F.least("a", "to").alias("to"))
-        pointers = _follow(_follow(pointers.checkpoint())).checkpoint()
+        pointers = cut(_follow(_follow(cut(pointers))))
         if out is None:
             out = pointers.select(F.col("v").alias("node"), F.col("to").alias("comp"))
         else:
-            out = relabel(out, pointers.select(F.col("v").alias("node"), F.col("to").alias("comp")))
+            out = cut(relabel(out, pointers.select(F.col("v").alias("node"), F.col("to").alias("comp"))))
         side = lambda c: pointers.select(F.col("v").alias(c), F.col("to").alias(f"t{c}"))
-        edges = edges.join(side("a"), "a").join(side("b"), "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct().checkpoint()
+        edges = cut(edges.join(side("a"), "a").join(side("b"), "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a <> b").distinct())
         if edges.isEmpty():
-            return out.checkpoint()
+            return out
 
 
 def relabel(labels: DataFrame, moved: DataFrame) -> DataFrame:

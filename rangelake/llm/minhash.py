@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.llm.common import key_filter, may_have, ready
+from rangelake.llm.common import cut, key_filter, may_have, ready
 from rangelake.llm.graph import components, relabel
 
 COORDINATES, OVERLAP, DEVIATIONS = 64, 4, 6
@@ -105,7 +105,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "n": n, "hi": hi, "lo": lo, "sig": sig})
 
     got = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n int, hi long, lo long, sig array<int>")
-    return got.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    return cut(got.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     rows = _features(docs, width)
     # grouped by one column more than is joined on: the join then has exchanges whose skewed parts Spark can split
     classes = rows.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("row").alias("node")).select("hi", "lo", "node")
-    tagged = rows.join(classes, ["hi", "lo"]).select("doc_id", "n", "node", "hi", "lo", "row", F.when(F.col("row") == F.col("node"), F.col("sig")).alias("sig")).checkpoint()
+    tagged = cut(rows.join(classes, ["hi", "lo"]).select("doc_id", "n", "node", "hi", "lo", "row", F.when(F.col("row") == F.col("node"), F.col("sig")).alias("sig")))
     nodes = tagged.filter("row = node").select("node", "doc_id", "n", "hi", "lo", "sig")
     comp = _components(docs, nodes, width, percent, least)
     labelled = tagged.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
@@ -200,14 +200,14 @@ def _postings(nodes: DataFrame, least: int) -> DataFrame:
             order = np.lexsort((keys, f), axis=1)[:, :length]
             yield pd.DataFrame({"node": b["node"].to_numpy(), "n": b["n"].to_numpy(), "keys": list(np.take_along_axis(keys, order, 1))})
 
-    return nodes.select("node", "n", "sig").mapInPandas(prefix, "node long, n int, keys array<long>").checkpoint()
+    return cut(nodes.select("node", "n", "sig").mapInPandas(prefix, "node long, n int, keys array<long>"))
 
 
 def _components(docs: DataFrame, nodes: DataFrame, width: int, percent: int, least: int) -> DataFrame:
     """(node, comp) of the nodes that have a pair with enough matches."""
     post = _postings(nodes, least).select("node", F.explode("keys").alias("key"))
     shared = post.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
-    live = may_have(post, key_filter(shared, "key"), "key", "_hit").filter("_hit").select("key", "node").checkpoint()
+    live = cut(may_have(post, key_filter(shared, "key"), "key", "_hit").filter("_hit").select("key", "node"))
 
     # 1. every node with the pivots of its lists: pairs with enough matches make clusters
     stars = None
@@ -216,19 +216,19 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, percent: int, lea
         pivots = live.groupBy("key", F.pmod("key", F.lit(2)).alias("_")).agg(F.min(F.struct(order.alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
         star = live.join(pivots, "key").filter("node <> pivot").select("node", "pivot").distinct()
         stars = star if stars is None else stars.union(star)
-    tried = _alike(_pairs(stars, "node", "pivot").distinct(), nodes, percent, least).checkpoint()
+    tried = cut(_alike(_pairs(stars, "node", "pivot").distinct(), nodes, percent, least))
     cluster = components(tried)
 
     # 2. lists that hold several clusters: all pairs across them, each node outside the largest with all others
-    across = _alike(_across(live, cluster), nodes, percent, least).checkpoint()
+    across = cut(_alike(_across(live, cluster), nodes, percent, least))
     cluster = _merged(cluster, across)
 
     # 3. within clusters: each node with its best match, then what isn't one component yet, in blocks
     ends = nodes.join(cluster, "node").select("node", "doc_id", "hi", "lo")
-    sets = _sets(docs, ends, width).checkpoint()
+    sets = cut(_sets(docs, ends, width))
     pairs = tried.union(across)
     best = pairs.union(pairs.select("b", "a", "matches")).groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    comp = components(_links(_pairs(best, "a", "b").distinct(), sets, percent).checkpoint())
+    comp = components(cut(_links(_pairs(best, "a", "b").distinct(), sets, percent)))
     return _merged(comp, _links_in_blocks(cluster, comp, sets, percent))
 
 
@@ -237,7 +237,7 @@ def _across(live: DataFrame, cluster: DataFrame) -> DataFrame:
     labelled = live.join(cluster, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     counts = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = labelled.join(largest, "key").checkpoint()
+    mixed = cut(labelled.join(largest, "key"))
     other = mixed.filter("comp <> main").select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
     pairs = mixed.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("_node"))))
     return _pairs(pairs, "node", "_node").groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= OVERLAP).select("a", "b")
@@ -277,10 +277,11 @@ def _links_in_blocks(cluster: DataFrame, comp: DataFrame, sets: DataFrame, perce
     own = cluster.withColumnRenamed("comp", "cluster").join(comp, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
     parts = own.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
     torn = parts.groupBy("cluster").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("cluster", F.col("m.comp").alias("main"))
-    member = own.join(torn, "cluster").join(sets, "node").withColumn("other", F.col("comp") != F.col("main")).checkpoint()
-    sizes = member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(
+    member = own.join(torn, "cluster").join(sets, "node").withColumn("other", F.col("comp") != F.col("main"))
+    member = cut(member)
+    sizes = cut(member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(
         F.ceil(F.sum(F.size("items")) / BLOCK).alias("all_blocks"), F.ceil(F.sum(F.when(F.col("other"), F.size("items"))) / BLOCK).alias("other_blocks"), F.sum(F.size("items")).alias("total")
-    ).drop("_").checkpoint()
+    ).drop("_"))
     small = sizes.filter("all_blocks = 1").agg(F.coalesce(F.ceil(F.sum("total") / BLOCK), F.lit(1)).alias("n")).first()["n"]
     placed = member.join(sizes, "cluster")
     # a block is (x, y): x is one of the small clusters' bins, or the cluster; y numbers its pairs of blocks
@@ -309,13 +310,13 @@ def _links_in_blocks(cluster: DataFrame, comp: DataFrame, sets: DataFrame, perce
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp with the components joined that links connect."""
-    links = links.select("a", "b").checkpoint()
+    links = cut(links.select("a", "b"))
     if links.isEmpty():
         return comp
     side = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
     own = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "node").join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
     edges = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    return relabel(comp.union(own), components(edges)).checkpoint()
+    return cut(relabel(comp.union(own), components(edges)))
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -324,7 +325,8 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80)
     A row whose doc_id is null stays. Only rows whose doc_id may be among the dropped ones, by a Bloom
     filter, are joined; all other texts stay where they are read.
     """
-    gone = near_duplicates(docs, width=width, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).checkpoint()
+    gone = near_duplicates(docs, width=width, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
+    gone = cut(gone)
     key = F.xxhash64("doc_id")
     marked = may_have(docs.withColumn("_key", key), key_filter(gone.select(F.xxhash64("_gone").alias("_key")), "_key"), "_key", "_hit")
     return marked.filter("not _hit").select(docs.columns).union(marked.filter("_hit").select(docs.columns).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
