@@ -15,6 +15,9 @@ _STRING = rb'"([^"\\]*+(?:\\.[^"\\]*+)*+)'
 _OUTSIDE = re.compile(_STRING + rb'(?:"(\s*+:\s*+\[)?|\\?\Z)|[\[\]]', re.S)
 #: Inside one: strings are skipped, brackets and braces counted.
 _INSIDE = re.compile(_STRING + rb'(?:"|\\?\Z)|[{}\[\]]', re.S)
+_PLAIN = rb'[^{}\[\]"]++|"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: The same, but an object without objects, with arrays of scalars at most, is one match.
+_OBJECTS = re.compile(rb"(\{(?:" + _PLAIN + rb"|\[(?:" + _PLAIN + rb")*+\])*+\})|" + _INSIDE.pattern.replace(b"([^", b"(?:[^", 1), re.S)
 
 
 def fold(name: str) -> str:
@@ -87,24 +90,28 @@ def scan_ranges(data: bytes, targets: dict[str, str], *, utf8: bool = True, stru
             return error, out
         activation, level, index, braces, start = activation + 1, depth, 0, 0, -1
         ended = False
-        for m in _INSIDE.finditer(data, pos):
+        for m in _OBJECTS.finditer(data, pos):
             c = m[0]
-            if c == b"{":
+            if m[1] is not None or c == b"}":
+                if m[1] is not None:
+                    if braces:
+                        continue
+                    start = m.start()
+                elif braces != 1:
+                    braces -= braces > 0
+                    continue
+                braces, length, problem = 0, m.end() - start, None
+                if length > max_size:
+                    problem = f"Object size ({length}) exceeds maximum ({max_size})"
+                elif structure and not valid_json(data[start : m.end()]):
+                    problem = INVALID_STRUCTURE
+                if problem is None or keep_errors:
+                    out.append((name, activation, index, start, length, problem))
+                index += 1
+            elif c == b"{":
                 if braces == 0:
                     start = m.start()
                 braces += 1
-            elif c == b"}":
-                if braces:
-                    braces -= 1
-                    if braces == 0:
-                        length, problem = m.end() - start, None
-                        if length > max_size:
-                            problem = f"Object size ({length}) exceeds maximum ({max_size})"
-                        elif structure and not valid_json(data[start : m.end()]):
-                            problem = INVALID_STRUCTURE
-                        if problem is None or keep_errors:
-                            out.append((name, activation, index, start, length, problem))
-                        index += 1
             elif c == b"[":
                 depth += 1
             elif c == b"]":
@@ -125,6 +132,12 @@ _TOKEN = re.compile(
     rb'[ \t\n\r]*+(?:([{}\[\]:,])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![0-9.eE+-])|true\b|false\b|null\b))',
     re.S,
 )
+_WS = rb"[ \t\n\r]*+"
+_SCALAR = rb'(?:"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![0-9.eE+-])|true\b|false\b|null\b)'
+_ITEMS = _SCALAR + _WS + rb"(?:," + _WS + _SCALAR + _WS + rb")*+"
+_MEMBER = rb'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt])*+"' + _WS + rb":" + _WS + rb"(?:" + _SCALAR + rb"|\[" + _WS + rb"(?:" + _ITEMS + rb")?\])" + _WS
+#: A valid object of scalars and arrays of scalars, whose names hold no numbered escapes.
+_FLAT = re.compile(_WS + rb"(\{" + _WS + rb"(?:" + _MEMBER + rb"(?:," + _WS + _MEMBER + rb")*+)?\})", re.S)
 BOM = b"\xef\xbb\xbf"
 
 
@@ -151,6 +164,20 @@ def path_ranges(data: bytes, segments: list[str], *, strict: bool = False, utf8:
     # what may come next: a value, a value or ], a key or }, a key, a colon, a comma or the end of the container
     want = "value"
     while True:
+        if found and stack[-1][2] and want in ("value", "value]") and len(stack) < MAX_DEPTH - 1 and (m := _FLAT.match(data, pos)):
+            start, pos = m.start(1), m.end()
+            try:  # names are decoded, so their bytes have to be UTF-8
+                m[1].decode("utf-8")
+            except UnicodeDecodeError:
+                pos, start = m.start(1), -1
+            else:
+                length = pos - start
+                if length <= max_size:
+                    out.append((len(out), start, length))
+                elif not keep_errors:
+                    return failed(f"Object size ({length}) exceeds maximum ({max_size})")
+                start, key, want = -1, None, "end"
+                continue
         m = _TOKEN.match(data, pos)
         if m is None:
             if want == "end" and not stack and not data[pos:].strip(b" \t\n\r"):

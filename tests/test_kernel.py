@@ -145,3 +145,19 @@ def test_scan_finds_outermost_objects(value):
 
     got = [json.loads(data[s : s + n]) for _, _, _, s, n, _ in k.scan_ranges(data, {"items": "items"})[1]]
     assert got == outer([value, {"z": 1}])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(values, max_size=4), st.integers(0, 40), st.sampled_from(["", "\x01", "\\q", "01", ",", '"', "}"]), st.integers(0, 60))
+def test_fast_objects_change_nothing(items, cut, noise, at):
+    data = json.dumps({"a": items, "items": items}, ensure_ascii=False).encode()
+    data = data[:at] + noise.encode() + data[at:]
+    data = data[: len(data) - cut] if cut > 30 else data
+    for p in ("items", "a"):
+        fast = k.path_ranges(data, [p])
+        kept, k._FLAT = k._FLAT, k.re.compile(rb"(?!)")
+        try:
+            slow = k.path_ranges(data, [p])
+        finally:
+            k._FLAT = kept
+        assert fast[1] == slow[1] and (fast[0] is None) == (slow[0] is None)
