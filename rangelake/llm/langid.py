@@ -26,7 +26,7 @@ MARK = "▁"
 #: Letters of a word that training takes together, and additive smoothing of expected counts.
 STRETCH, SMOOTH, ROUNDS = 48, 0.1, 2
 #: Words that a worker keeps scores or counts of at a time.
-TABLE_SIZE = 300_000
+TABLE_SIZE = 150_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
