@@ -37,8 +37,8 @@ def exact_dedup(docs: DataFrame, *, all_digests: bool = False) -> DataFrame:
     digest = F.sha2(ascii_lower(text).cast("binary"), 256)
     hashed = may_have(docs.withColumn("_key", key), key_filter(survivors, "_key"), "_key", "_hit")
     hashed = hashed.withColumn("text_sha256", digest if all_digests else F.when(F.col("_hit"), digest))
-    # a row that is alone already gets a join key of its own, so that none is hot
-    alone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.uuid()))
+    # a row that is alone already has a (length, prefix) hash of its own: as a join key, that makes none hot
+    alone = F.concat(F.lit("-"), F.hex("_key"))
     hashed = hashed.withColumn("_full", F.coalesce("text_sha256", alone)).drop("_key")
     groups = (
         hashed.filter("_hit").select(F.octet_length(text).alias("_len"), F.col("text_sha256").alias("_full"), "doc_id")
