@@ -17,15 +17,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 #: A key filter has 2**FILTER_WORD_BITS words of 64 bits: 4 MB of data, however many keys go in.
 FILTER_WORD_BITS = 18
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package, and make sure that checkpoint() has a folder.
+    """Let Python workers import this package, bound their batches, and make sure that checkpoint() has a folder.
 
     The folder is the one named in spark.checkpoint.dir; a temporary one is set only where that is
-    unset, which is so in local tests.
+    unset, which is so in local tests. Batches to Python workers get BATCH_ROWS rows, unless the
+    session has a number of its own: whole texts can be long.
     """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rangelake-"))
     if not getattr(sc, "_rangelake_shipped", False):
