@@ -276,7 +276,7 @@ def _links_in_blocks(cluster: DataFrame, comp: DataFrame, sets: DataFrame, perce
     """
     own = cluster.withColumnRenamed("comp", "cluster").join(comp, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
     parts = own.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    torn = parts.groupBy("cluster").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("cluster", F.col("m.comp").alias("main"))
+    torn = parts.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("cluster", F.col("m.comp").alias("main"))
     member = own.join(torn, "cluster").join(sets, "node").withColumn("other", F.col("comp") != F.col("main"))
     member = cut(member)
     sizes = cut(member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(
