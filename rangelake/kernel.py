@@ -253,7 +253,7 @@ def top_level_arrays(data: bytes | str) -> list[str] | None:
 def strings_below(value) -> list[str]:
     """The strings in a value, at any depth, that aren't blank, in order."""
     if isinstance(value, str):
-        return [value] if value.strip() else []
+        return [value] if value and not value.isspace() else []
     found = []
     for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
         found += strings_below(v)
@@ -275,7 +275,11 @@ def field_strings(data: bytes | str | None, fields: list[str]) -> list[tuple[str
     wanted, out = {fold(f) for f in fields}, []
     for k, v in root.items():
         if not wanted or fold(k) in wanted:
-            out += [(k, i, s) for i, s in enumerate(strings_below(v))]
+            if isinstance(v, str):
+                if v and not v.isspace():
+                    out.append((k, 0, v))
+            elif isinstance(v, (list, dict)):
+                out += [(k, i, s) for i, s in enumerate(strings_below(v))]
     return out
 
 

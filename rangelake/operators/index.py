@@ -21,14 +21,20 @@ def _field_strings_udf(fields: Sequence[str]):
 
     @arrow_udf("array<struct<field: string, number: int, value: string>>")
     def run(v: pa.Array) -> pa.Array:
-        return pa.array([[{"field": f, "number": n, "value": s} for f, n, s in kernel.field_strings(x.as_py(), wanted)] for x in v], _FIELD)
+        ends, flat = [0], []
+        for text in v.to_pylist():
+            flat += kernel.field_strings(text, wanted)
+            ends.append(len(flat))
+        fields, numbers, values = zip(*flat) if flat else ([], [], [])
+        rows = pa.StructArray.from_arrays([pa.array(fields, pa.string()), pa.array(numbers, pa.int32()), pa.array(values, pa.string())], fields=list(_FIELD.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return run
 
 
 def field_strings(df: DataFrame, content: str = "content", fields: Sequence[str] = (), *, keep: Sequence[str] = ()) -> DataFrame:
     """keep, field, number and value: the strings below the top-level fields named, or below all; malformed objects give none."""
-    return df.select(*keep, F.inline_outer(_field_strings_udf(fields)(F.col(content).cast("binary")))).filter(F.col("value").isNotNull())
+    return df.select(*keep, F.inline_outer(_field_strings_udf(fields)(F.col(content)))).filter(F.col("value").isNotNull())
 
 
 def build_index(

@@ -37,6 +37,11 @@ def _result(rows: list[tuple[str | None, list[tuple]]]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([e for e, _ in rows], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], fields=list(_RESULT))
 
 
+def _bytes(v: pa.Array):
+    """The documents of a batch, one at a time, so that a batch isn't held twice."""
+    return (x.as_py() for x in v)
+
+
 def targets_of(targets: Sequence[str] | None) -> dict[str, str]:
     """Folded name -> spelling. Blank names don't count; none at all means the default names; names that differ in case only raise."""
     names = [t for t in targets or () if t and t.strip()] or list(kernel.DEFAULT_COLLECTIONS)
@@ -51,7 +56,7 @@ def _collections_udf(targets, validate_utf8, validate_structure, max_object_size
 
     @arrow_udf(RESULT)
     def run(v: pa.Array) -> pa.Array:
-        return _result([(None, []) if (d := x.as_py()) is None else kernel.scan_ranges(d, wanted, utf8=validate_utf8, structure=validate_structure, max_size=max_object_size, keep_errors=continue_on_error) for x in v])
+        return _result([(None, []) if d is None else kernel.scan_ranges(d, wanted, utf8=validate_utf8, structure=validate_structure, max_size=max_object_size, keep_errors=continue_on_error) for d in _bytes(v)])
 
     return run
 
@@ -64,8 +69,7 @@ def _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_err
     @arrow_udf(RESULT)
     def run(v: pa.Array) -> pa.Array:
         rows = []
-        for x in v:
-            d = x.as_py()
+        for d in _bytes(v):
             error, found = (None, []) if d is None else kernel.path_ranges(d, segments, strict=strict, utf8=validate_utf8, max_size=max_object_size, keep_errors=continue_on_error)
             rows.append((error, [(None, 0, i, s, n, None) for i, s, n in found]))
         return _result(rows)
