@@ -11,14 +11,15 @@ from rangelake.functions.registry import Registry
 SEPARATORS = " ,.;:-_/()"
 
 
-def _split(value: Column, pattern: str, least: int) -> Column:
-    return F.filter(F.split(value, pattern), lambda w: F.length(w) >= least)
+def _runs(value: Column, character: str, least: int) -> Column:
+    """Runs of at least so many characters: one pass with a pattern compiled once, where split() compiles it for each row."""
+    return F.regexp_extract_all(value, F.lit(f"{character}{{{least},}}"), F.lit(0))
 
 
 def words(value: Column, *, least: int = 2, lower: bool = True, separators: str = SEPARATORS) -> Column:
     """Words of at least so many characters between separators; white space other than a space separates only if listed."""
     inside = "".join("\\" + c for c in separators)
-    return _split(F.lower(value) if lower else value, f"[{inside}]+" if separators else r"\z", max(1, least))
+    return _runs(F.lower(value) if lower else value, f"[^{inside}]" if separators else r"(?s:.)", max(1, least))
 
 
 def ngrams(kept: Column, longest: int) -> Column:
@@ -28,15 +29,15 @@ def ngrams(kept: Column, longest: int) -> Column:
 
 
 def word_split(value: Column) -> Column:
-    return _split(value, r"[\s,.\-_/();:]+", 2)
+    return _runs(value, r"[^\s,.\-_/();:]", 2)
 
 
 def whitespace(value: Column) -> Column:
-    return _split(value, r"\s+", 1)
+    return _runs(value, r"\S", 1)
 
 
 def ngram_2(value: Column) -> Column:
-    kept = _split(value, r"\s+", 2)
+    kept = _runs(value, r"\S", 2)
     return F.concat(kept, ngrams(kept, 2))
 
 
