@@ -30,7 +30,7 @@ ODD_SPACE = re.compile(r"\s |\s\Z| \s| \Z|\A ")
 #: Marks that, alone after letters, are a pretoken of their own.
 SINGLE = frozenset(".,;:!?")
 #: Entries after which a worker's table of encoded pieces starts anew, and the longest piece kept in it.
-TABLE_SIZE, LONGEST_KEPT = 400_000, 64
+TABLE_SIZE, LONGEST_KEPT = 250_000, 64
 
 
 def byte_symbols() -> dict[str, int]:

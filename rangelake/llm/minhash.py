@@ -35,7 +35,7 @@ SAMPLE, MOST_COMMON = 8, 100_000
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _draw = np.random.default_rng(20240229)
 FACTORS, SALTS = _draw.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1), _draw.integers(0, 1 << 63, COORDINATES, np.uint64)
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 #: Hashes on each side of a block of comparisons, and columns of its matrices at a time.
 BLOCK, COLUMNS = 200_000, 4096
 
