@@ -27,6 +27,8 @@ MARK = "▁"
 STRETCH, SMOOTH, ROUNDS = 48, 0.1, 2
 #: Words that a worker keeps scores or counts of at a time.
 TABLE_SIZE = 150_000
+#: Words of a language that training takes at a time, whatever the size of batches.
+TOGETHER = 10_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,9 +77,9 @@ class Vocabulary:
 
 
 def forward(spans: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha[word, end, column], log-probability[word, column]). p: piece by column, or piece by word if it has as many columns as there are words and is picked so by the caller.
+    """(alpha[word, end, column], log-probability[word, column]) for p[piece, column].
 
-    The last row of p stands for "no such piece" and is zero. Sums are rescaled as they go; alpha is only used for words short enough not to need that.
+    The last row of p stands for "no such piece" and is zero. Sums over long words are rescaled as they go; alpha itself is only of use for words short enough not to need that.
     """
     n, m1, longest = spans.shape
     columns = p.shape[1]
@@ -90,10 +92,9 @@ def forward(spans: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             total += alpha[:, end - size] * p[spans[:, end, size]]
         alpha[:, end] = total
         if end % 16 == 0 and m1 > STRETCH + 2:
-            scale = total.max(axis=1, keepdims=True)
             low = max(0, end - longest + 1)
-            alpha[:, low : end + 1] /= scale[:, None]
-            logs += np.log(scale)
+            alpha[:, low : end + 1] /= total[:, None]  # each language by itself: their ratio grows without bound
+            logs += np.log(total)
     return alpha, logs + np.log(alpha[:, -1])
 
 
@@ -183,18 +184,25 @@ def fit_unigrams(docs: DataFrame, path: str, *, rounds: int = ROUNDS, smooth: fl
 
         def expect(batches, held=held):
             vocab, total = vocabulary(path), np.zeros_like(held)
+            waiting: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
+
+            def work(lang: str) -> None:
+                column, (marked, weight) = languages.index(lang), waiting.pop(lang)
+                weight = np.array(weight, float)
+                for at in by_length(marked):
+                    total[:, column] += expected(vocab.spans([marked[k] for k in at]), held[:, column : column + 1], weight[at])
+
             for b in batches:
-                for lang, part in b.groupby("lang", sort=False):
-                    column = languages.index(lang)
-                    marked, weight = [], []
-                    for w, n in zip(part["word"], part["n"]):
-                        w = MARK + w
-                        for k in range(0, len(w), STRETCH):
-                            marked.append(w[k : k + STRETCH])
-                            weight.append(n)
-                    weight = np.array(weight, float)
-                    for at in by_length(marked):
-                        total[:, column] += expected(vocab.spans([marked[k] for k in at]), held[:, column : column + 1], weight[at])
+                for lang, w, n in zip(b["lang"], b["word"], b["n"]):
+                    marked, weight = waiting[lang]
+                    w = MARK + w
+                    for k in range(0, len(w), STRETCH):
+                        marked.append(w[k : k + STRETCH])
+                        weight.append(n)
+                for lang in [x for x, (marked, _) in waiting.items() if len(marked) >= TOGETHER]:
+                    work(lang)
+            for lang in list(waiting):
+                work(lang)
             piece, column = np.nonzero(total[:-1])
             if len(piece):
                 yield pd.DataFrame({"piece": piece, "col": column, "n": total[piece, column]})
