@@ -172,6 +172,11 @@ def with_properties(ranges: DataFrame, extractor: Column | Callable[[str], dict]
     return got.withColumn("properties", F.col("_x.p")).withColumn("error", F.coalesce("_x.e", "error") if "error" in ranges.columns else F.col("_x.e")).drop("_x")
 
 
+def with_validation(ranges: DataFrame, validator: Callable[[Column], Column]) -> DataFrame:
+    """ranges (with content), and an error for content that a caller's own test, a builder of a boolean column, turns down; errors that are there stay."""
+    return ranges.withColumn("error", F.coalesce("error", F.when(~F.coalesce(validator(F.col("content")), F.lit(False)), F.lit(kernel.INVALID_STRUCTURE))))
+
+
 def collection_counts(ranges: DataFrame, *keys: str) -> DataFrame:
     """Objects by collection, and by keys before it."""
     return ranges.groupBy(*keys, "collection").agg(F.count("*").alias("n_objects"))

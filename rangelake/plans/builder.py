@@ -26,6 +26,7 @@ class ScanPlan:
     max_object_size: int = kernel.MAX_OBJECT_SIZE
     continue_on_error: bool = True
     extractor: Column | Callable | None = None
+    validator: Callable[[Column], Column] | None = None
 
     def for_collections(self, *names: str) -> ScanPlan:
         return replace(self, targets=names)
@@ -42,6 +43,10 @@ class ScanPlan:
     def extract_properties(self, extractor: Column | Callable) -> ScanPlan:
         return replace(self, extractor=extractor)
 
+    def with_validator(self, validator: Callable[[Column], Column]) -> ScanPlan:
+        """A test of content in place of the strict structure check."""
+        return replace(self, validator=validator, validate_structure=False)
+
     def skip_validation(self) -> ScanPlan:
         """Neither structure nor UTF-8 is checked."""
         return replace(self, validate_utf8=False, validate_structure=False)
@@ -51,12 +56,16 @@ class ScanPlan:
 
     def run(self) -> DataFrame:
         out = ops.scan_collections(
-            self.df, self.content, self.targets, keep=self.keep, include_content=self.include_content or self.extractor is not None, hashes=self.hashes,
+            self.df, self.content, self.targets, keep=self.keep, include_content=self.include_content or self.extractor is not None or self.validator is not None, hashes=self.hashes,
             validate_utf8=self.validate_utf8, validate_structure=self.validate_structure, max_object_size=self.max_object_size, continue_on_error=self.continue_on_error,
         )
-        if self.extractor is None:
+        if self.validator is not None:
+            out = ops.with_validation(out, self.validator)
+            out = out if self.continue_on_error else out.filter("error is null")
+        if self.extractor is not None:
+            out = ops.with_properties(out, self.extractor)
+        elif self.validator is None:
             return out
-        out = ops.with_properties(out, self.extractor)
         return out if self.include_content else out.drop("content")
 
     def errors(self) -> DataFrame:

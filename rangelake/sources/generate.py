@@ -96,3 +96,18 @@ def documents(rows: DataFrame, collection: str, per_document: int, *, path: str
     names = [*(p for p in path.split(".") if p), collection]
     head = "".join('{"' + p + '":' for p in names)
     return grouped.select("doc_id", F.concat(F.lit(head + "["), "_j", F.lit("]" + "}" * len(names))).cast("binary").alias("content"))
+
+#: Per generator: fields that hold words, and beginnings of words that occur in them.
+SUGGESTED = {
+    "ecommerce": (["name", "category", "tags"], ["elec", "book", "popu"]),
+    "movies": (["title", "cast", "description", "genre"], ["show", "dram", "class"]),
+    "blog": (["title", "body", "tags"], ["stream", "reli", "eco"]),
+    "employees": (["name", "departmentId"], ["grace", "dept"]),
+    "catalog": (["name", "category", "description", "tags"], ["stream", "book", "prem"]),
+}
+
+
+def suggestions(kind: str) -> dict[str, list[str]]:
+    """fields and terms to try on a generator's data; those of ecommerce for an unknown kind. Its paths are generate()'s keys."""
+    fields, terms = SUGGESTED.get(kind, SUGGESTED["ecommerce"])
+    return {"fields": list(fields), "terms": list(terms)}

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rangelake.functions import match, tokenize
+from rangelake.functions import match, metrics, tokenize
 from rangelake.functions.json import json_valid, utf8_delimiter_safe, valid_delimiter_at
 from rangelake.functions.registry import Registry
 from rangelake.operators import index as ix
@@ -79,6 +79,17 @@ def test_builders(docs):
     assert extract(docs, "shows", keep=("id",)).with_utf8_validation().errors().filter("id = 'bad'").count() == 1
 
 
+def test_own_validator(docs):
+    plan = scan(docs, keep=("id",)).for_collections("items", "shows").with_validator(lambda c: ~F.contains(c, F.lit("Dark")))
+    assert {(r.id, r.item_index) for r in plan.run().filter("error is not null").collect()} == {("cat", 2)} and "content" not in plan.run().columns
+    assert plan.stop_on_error().run().count() == plan.run().count() - 1
+
+
+def test_metrics(spark):
+    r = spark.range(1).select(metrics.throughput(F.lit(1 << 20), F.lit(0)), metrics.throughput(F.lit(1 << 21), F.lit(1000)), metrics.position_percent(F.lit(1), F.lit(3)), metrics.position_percent(F.lit(1), F.lit(0)), metrics.width_percent(F.lit(1), F.lit(1000)), metrics.width_percent(F.lit(1), F.lit(8))).first()
+    assert [round(x, 4) for x in r] == [10000, 2, 33.3, 0, 1, 12.5]
+
+
 def test_index_and_search(docs, spark, tmp_path):
     ranges = sc.scan_collections(docs, "content", ["shows"], keep=["id"], include_content=True).cache()
     build = lambda **o: ix.build_index(ranges, keep=["id"], **o)
@@ -190,6 +201,9 @@ def test_generators(spark, kind, counts):
     again = gen.generate(spark, kind, 20, seed=3)
     for k in made:
         assert sorted(made[k].collect()) == sorted(again[k].collect()) and made[k].filter(~json_valid("json")).count() == 0
+    tips = gen.suggestions(kind)
+    text = " ".join(r.json for v in made.values() for r in v.collect()).lower()
+    assert all(t in text for t in tips["terms"]) and all(f'"{f.lower()}"' in text for f in tips["fields"])
     with pytest.raises(KeyError):
         gen.generate(spark, "other", 5)
     assert set(gen.generate(spark, "other", 5, strict=False)) == {"products", "reviews", "orders"}
