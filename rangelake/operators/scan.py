@@ -83,6 +83,11 @@ def _exploded(df: DataFrame, content: str, udf, keep: Sequence[str]) -> DataFram
     return found.select(*keep, "_content", F.inline_outer("_ranges")).filter(F.col("start_position").isNotNull())
 
 
+def _doc_errors(df: DataFrame, content: str, udf, keep: Sequence[str]) -> DataFrame:
+    """keep and doc_error, where there is one; the generator keeps the filter from going below the kernel and running it twice."""
+    return df.select(*keep, F.explode_outer(F.array(udf(binary(content))["doc_error"])).alias("doc_error")).filter(F.col("doc_error").isNotNull())
+
+
 def _with_bytes(ranges: DataFrame, keep: Sequence[str], include_content: bool, hashes: bool, *more: Column) -> DataFrame:
     """The range columns; rows whose object was too large or cut off have neither content nor hash."""
     whole = (F.col("length") > 0) & F.coalesce(~F.col("error").startswith("Object size"), F.lit(True))
@@ -111,7 +116,7 @@ def scan_collections(
 def scan_errors(df: DataFrame, content: str, targets: Sequence[str] | None = None, *, keep: Sequence[str] = (), validate_utf8: bool = True, validate_structure: bool = False, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True) -> DataFrame:
     """keep and doc_error of the documents whose scan fails or ends inside an object."""
     udf = _collections_udf(targets, validate_utf8, validate_structure, max_object_size, continue_on_error)
-    return df.select(*keep, udf(binary(content))["doc_error"].alias("doc_error")).filter(F.col("doc_error").isNotNull())
+    return _doc_errors(df, content, udf, keep)
 
 
 def extract_path(
@@ -129,7 +134,7 @@ def extract_path(
 
 def path_errors(df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = (), strict: bool = False, validate_utf8: bool = False, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True) -> DataFrame:
     udf = _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error)
-    return df.select(*keep, udf(binary(content))["doc_error"].alias("doc_error")).filter(F.col("doc_error").isNotNull())
+    return _doc_errors(df, content, udf, keep)
 
 
 def index_path(df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = ()) -> DataFrame:

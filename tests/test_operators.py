@@ -42,6 +42,7 @@ def test_slices_hashes_and_one_python_node(docs):
         piece = bytes(data[r.id][r.start_position : r.end_position])
         assert r.content == piece.decode() and r.hash == hashlib.md5(piece).hexdigest()
         assert (r.error == "Invalid JSON structure") == (r.id == "two" and r.item_index == 1)
+    assert python_nodes(sc.scan_errors(docs, "content", ["shows"], keep=["id"])) == python_nodes(sc.scan_stats(docs, "content", key="id")) == python_nodes(sc.path_errors(docs, "content", "shows")) == 1
     assert [(r.id, r.doc_error[:12]) for r in sc.scan_errors(docs, "content", ["shows"], keep=["id"]).collect()] == [("bad", "Scan failed:")]
     stats = {r.id: tuple(r)[1:] for r in sc.scan_stats(docs, "content", ["shows", "items"], key="id").collect()}
     assert stats["none"] == (0, 0, 0, 0) and stats["bad"][1:] == (0, 0, 1) and stats["two"][1:] == (3, 2, 0)
