@@ -42,6 +42,14 @@ def ready(spark: SparkSession) -> None:
         sc._rangelake_shipped = True
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is, if it is there and the session still runs."""
+    with contextlib.suppress(Exception):
+        sc = spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written as Parquet under the checkpoint folder and read again.
 
@@ -54,14 +62,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-
-    def remove() -> None:
-        with contextlib.suppress(Exception):  # the session may be gone, and the folder with it
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-    atexit.register(remove)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
