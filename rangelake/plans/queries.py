@@ -37,11 +37,11 @@ def _escaped(c: str) -> str:
 #: Per kind of document: its table and filter, the column that groups rows, their order, the piece of a row, and what stands before and after the pieces.
 KINDS = {
     "conv": ("conversations", "true", "conv_id", "turn", """'{"turn":' || turn || ',"role":"' || coalesce(role, '') || '","text":"' || """ + _escaped("coalesce(text, '')") + """ || '"}'""", """'{"note":"{ ' || chr(92) || '"turns' || chr(92) || '": [ decoy","Turns" : [' """, "']}'"),
-    "cust": ("orders", "o_custkey % 7 < 3", "o_custkey", "o_orderkey", """'{"orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}'""", """'{"Orders":['""", """'],"decoy":"' || chr(92) || '"flags' || chr(92) || '": [{}","FLAGS":[{"a":[1,{"flags":[{}]}]},[{"b":"}"}], 7]}'"""),
+    "cust": ("orders", "true", "o_custkey", "o_orderkey", """'{"orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}'""", """'{"Orders":['""", """'],"decoy":"' || chr(92) || '"flags' || chr(92) || '": [{}","FLAGS":[{"a":[1,{"flags":[{}]}]},[{"b":"}"}], 7]}'"""),
     "part": ("part", "true", "p_brand", "p_partkey", """'{"key":' || p_partkey || ',"name":"' || p_name || '","type":"' || p_type || '","size":' || p_size || '}'""", """'{"items":['""", "']}'"),
-    "user": ("events", "user_id % 5 = 0", "user_id", "event_id", """'{"id":' || event_id || ',"type":"' || event_type || '","props":' || coalesce(props, 'null') || '}'""", """'{"x":[0,{"log":['""", "']}]}'"),
+    "user": ("events", "true", "user_id", "event_id", """'{"id":' || event_id || ',"type":"' || event_type || '","props":' || coalesce(props, 'null') || '}'""", """'{"x":[0,{"log":['""", "']}]}'"),
     "text": ("documents", "true", "doc_id", "doc_id", """'{"id":' || doc_id || ',"text":"' || """ + _escaped("coalesce(text, '')") + """ || '"}'""", """'{"items":['""", "']}'"),
-    "deep": ("orders", "o_custkey % 7 = 3", "o_custkey", "o_orderkey", """'{"orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '"}'""", """'{"company":{"orders":{"count":1},"Dept":{"n' || chr(92) || 'u0061me":"x","Orders":['""", """']}},"later":{}}'"""),
+    "deep": ("orders", "true", "o_custkey", "o_orderkey", """'{"orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '"}'""", """'{"company":{"orders":{"count":1},"Dept":{"n' || chr(92) || 'u0061me":"x","Orders":['""", """']}},"later":{}}'"""),
     "nation": ("nation", "true", "n_regionkey", "n_nationkey", """'{"key":' || n_nationkey || ',"name":"' || n_name || '"}'""", """'{"a":[{"z":1},{"B":['""", """'],"b":[{"no":1}]}],"a2":{"b":[{"no":2}]}}'"""),
     "sup": ("supplier", "true", "s_nationkey", "s_suppkey", """'{"suppkey":' || s_suppkey || ',"name":"' || s_name || '"}'""", """'{"data":['""", "']}'"),
 }
