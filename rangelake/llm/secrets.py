@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rangelake.llm.common import key_filter, may_have, ready
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 #: Kind, what a span matches, and a group of it with its least length (0: the span).
 #: A match that is too short is dropped after it has taken its characters.
 BASE_RULES = [
@@ -22,9 +22,15 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
+#: A private key from its header to its END line, if no other header or END comes first; where END is missing,
+#: over the base64 lines that follow, with fields such as DEK-Info before them and a short last line.
+#: No look-around and no possessive counts, which DuckDB lacks; groups repeat few times, which Java needs.
+_BEGIN = r"-{4,5} ?BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)? ?-{4,5}"
+_TO_END = r"[^-]*(?:-{1,3}[^-]+){0,250}-{4,5} ?END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)? ?-{4,5}"
+_LINES = r"""(?:\s*[A-Za-z]+(?:-[A-Za-z]+){0,3}: [^\n]*\n){0,8}[A-Za-z0-9+/=\s\\"'>#|]*[A-Za-z0-9+/]{20,}(?:={1,2}|[\s\\"'>#|]+n?[A-Za-z0-9+/]{1,19}={1,2}|\r?\n[ \t>#|]*=?[A-Za-z0-9+/]{1,19}[ \t]*(?:\r?\n|\z))?"""
 MORE_RULES = [
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
-    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("pem", _BEGIN + rf"(?:{_TO_END}|{_LINES})?", 0, 0),
     ("vcs", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
 ]
 RULES = BASE_RULES + MORE_RULES

@@ -167,6 +167,29 @@ def test_redaction(corpus, odd):
     assert secrets.redact_secrets(corpus).filter("n_chars <> length(text)").count() == 0
 
 
+def test_redaction_takes_whole_private_keys(spark):
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    body = [line(64) for _ in range(24)] + [line(17) + "=="]
+    begin = lambda kind, end="": f"-----BEGIN {kind}PRIVATE KEY{end}-----"
+    finish = lambda kind, end="": f"-----END {kind}PRIVATE KEY{end}-----"
+    kinds = [("", ""), ("RSA ", ""), ("OPENSSH ", ""), ("ENCRYPTED ", ""), ("PGP ", " BLOCK")]
+    keys = [begin(*k) + "\n" + "\n".join(body) + "\n" + finish(*k) for k in kinds]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA11BB22CC33DD\n\n"
+    keys += [begin("RSA ") + "\n" + fields + "\n".join(body) + "\n" + finish("RSA "), "---- BEGIN SSH2 ENCRYPTED PRIVATE KEY ----\n" + "\n".join(body) + "\n---- END SSH2 ENCRYPTED PRIVATE KEY ----"]
+    keys += [begin("EC ") + sep + sep.join(body) + sep + finish("EC ") for sep in (" ", "", "\r\n", "\n  ", "\\n", "\n> ")]
+    bare = [begin("RSA ") + sep + sep.join(body) for sep in ("\n", "\r\n", "\n    ", "\\n")] + [begin("RSA ") + "\n" + fields + "\n".join(body), begin("EC ") + "\n" + "\n".join([*body[:-1], line(9)]), begin("") + "\n" + "\n".join(line(64) for _ in range(20000))]
+    texts = [f"Before it, all is well.\n{k}\nAfter it, too: all is well." for k in keys + bare] + [f"Before.\n{keys[0]}\nBetween, no key.\n{bare[0]}\n{keys[1]}\nAfter."]
+    texts += ["The line " + begin("") + " begins a key, says this well-known text. " + "So it - does, at-length. " * 3000, keys[0] + " and " + begin("RSA ")]
+    out = dict(rows_of(secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    for k in range(len(keys + bare)):
+        assert out[k].replace("\n", "") == "Before it, all is well.[SECRET]After it, too: all is well.", k
+    mixed, prose, two = (out[len(keys + bare) + k] for k in range(3))
+    assert "Between, no key." in mixed and mixed.endswith("\nAfter.") and not any(b in mixed for b in body)
+    assert prose == "The line [SECRET] begins a key, says this well-known text. " + "So it - does, at-length. " * 3000
+    assert two == "[SECRET] and [SECRET]"
+
+
 # --- models -----------------------------------------------------------------------------------
 
 
