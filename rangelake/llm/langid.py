@@ -25,6 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Letters of a word that training takes together, and additive smoothing of expected counts.
 STRETCH, SMOOTH, ROUNDS = 48, 0.1, 2
+#: Symbols after which the sums over segmentations are rescaled.
+RESCALE = 16
 #: Words that a worker keeps scores or counts of at a time.
 TABLE_SIZE = 150_000
 #: Words of a language that training takes at a time, whatever the size of batches.
@@ -76,43 +78,53 @@ class Vocabulary:
         return out
 
 
-def forward(spans: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha[word, end, column], log-probability[word, column]) for p[piece, column].
+def forward(spans: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(alpha[word, end, column], scale or None, log-probability[word, column]) for p[piece, column].
 
-    The last row of p stands for "no such piece" and is zero. Sums over long words are rescaled as they go; alpha itself is only of use for words short enough not to need that.
+    The last row of p stands for "no such piece" and is zero. Sums are rescaled after every RESCALE
+    symbols, however short the word: pieces may be as rare as the corpus is large. The sum itself is
+    alpha * exp(scale); None stands for zeros, for words that have no rescaling.
     """
     n, m1, longest = spans.shape
     columns = p.shape[1]
     alpha = np.zeros((n, m1, columns))
     alpha[:, 0] = 1
-    logs = np.zeros((n, columns))
+    scale = np.zeros((n, m1, columns)) if m1 > RESCALE else None
     for end in range(1, m1):
         total = np.zeros((n, columns))
         for size in range(1, min(end, longest - 1) + 1):
             total += alpha[:, end - size] * p[spans[:, end, size]]
         alpha[:, end] = total
-        if end % 16 == 0 and m1 > STRETCH + 2:
-            low = max(0, end - longest + 1)
-            alpha[:, low : end + 1] /= total[:, None]  # each language by itself: their ratio grows without bound
-            logs += np.log(total)
-    return alpha, logs + np.log(alpha[:, -1])
+        if scale is not None:
+            scale[:, end] = scale[:, end - 1]
+            if end % RESCALE == 0:
+                low = max(0, end - longest + 1)
+                alpha[:, low : end + 1] /= total[:, None]  # each language by itself: their ratio grows without bound
+                scale[:, low : end + 1] += np.log(total)[:, None]
+    logs = np.log(alpha[:, -1])
+    return alpha, scale, logs if scale is None else logs + scale[:, -1]
 
 
 def expected(spans: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected count of each piece over words of one language; p: one column."""
+    """Expected count of each piece over words of one language; p: one column.
+
+    beta carries alpha's scale and is divided by the word's probability, so that the product of both
+    at one place needs no scale; between two places the difference of their scales is left.
+    """
     n, m1, longest = spans.shape
-    alpha, _ = forward(spans, p)
+    alpha, scale, _ = forward(spans, p)
     alpha, q = alpha[:, :, 0], p[:, 0]
     beta = np.zeros((n, m1))
-    beta[:, -1] = 1
+    beta[:, -1] = weight / alpha[:, -1]
     counts = np.zeros(len(p))
-    norm = weight / alpha[:, -1]
     for end in range(m1 - 1, 0, -1):
         for size in range(1, min(end, longest - 1) + 1):
             piece = spans[:, end, size]
             through = q[piece] * beta[:, end]
+            if scale is not None:
+                through *= np.exp(scale[:, end - size, 0] - scale[:, end, 0])
             beta[:, end - size] += through
-            counts += np.bincount(np.where(piece < 0, len(p) - 1, piece), alpha[:, end - size] * through * norm, len(p))
+            counts += np.bincount(np.where(piece < 0, len(p) - 1, piece), alpha[:, end - size] * through, len(p))
     return counts
 
 
@@ -148,7 +160,7 @@ class Unigrams:
         vocab, out = vocabulary(self.path), np.zeros((len(words), len(self.languages)))
         marked = [MARK + w for w in words]
         for at in by_length(marked):
-            out[at] = forward(vocab.spans([marked[k] for k in at]), self.p)[1]
+            out[at] = forward(vocab.spans([marked[k] for k in at]), self.p)[2]
         return out
 
 

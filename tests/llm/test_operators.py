@@ -267,6 +267,32 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.Unigrams(PIECES, ["a", "b"], p).score_words(["漢x" * 3000])).all()
 
 
+@pytest.mark.parametrize("rare", [1e-3, 1e-10, 1e-15])
+def test_rare_pieces_do_not_underflow(rare):
+    vocab, rng = langid.vocabulary(PIECES), np.random.default_rng(1)
+    p = np.vstack([rare * rng.uniform(0.5, 1, (vocab.size, 2)), np.zeros((1, 2))])
+    number = {x: i for i, x in enumerate(vocab.pieces)}
+    for w in ["漢字" * 8, "漢字" * 10, "漢字語" * 13 + "x", "漢x語" * 15 + "zz", "thand" * 9, "the" * 60]:
+        word = langid.MARK + w
+        ways = [[(end - k, number.get(word[end - k : end], vocab.size - 1)) for k in range(1, min(end, vocab.longest) + 1) if k == 1 or word[end - k : end] in number] for end in range(len(word) + 1)]
+        for c in range(2):
+            with np.errstate(divide="ignore"):
+                q = np.log(p[:, c])
+            up = [0.0] + [-np.inf] * len(word)
+            for end in range(1, len(word) + 1):
+                up[end] = np.logaddexp.reduce([up[s] + q[i] for s, i in ways[end]])
+            down = [-np.inf] * len(word) + [0.0]
+            for end in range(len(word), 0, -1):
+                for s, i in ways[end]:
+                    down[s] = np.logaddexp(down[s], q[i] + down[end])
+            want = np.zeros(len(p))
+            for end in range(1, len(word) + 1):
+                for s, i in ways[end]:
+                    want[i] += np.exp(up[s] + q[i] + down[end] - up[-1])
+            assert np.allclose(langid.Unigrams(PIECES, ["a", "b"], p).score_words([w])[0, c], up[-1])
+            assert np.allclose(langid.expected(vocab.spans([word]), p[:, c : c + 1], np.full(1, 3.0)), 3 * want)
+
+
 def test_language_id(spark, odd, nothing):
     rng = random.Random(2)
     parts = {"xx": ["th", "er", "ing"], "yy": ["eau", "oi", "ç"], "zz": ["sch", "ung", "ö"]}
