@@ -4,6 +4,9 @@ Units are whole lines, and the sentences of lines that have more than one, so th
 repeats inside longer lines is found too. A unit is normalised (A-Z lower-cased, white space between
 words one space) and hashed; digests are grouped over the whole table, the occurrence ranked first, by
 doc_id and place, stays, and all others are spans to remove, with their places in the original text.
+
+Lines and sentences under the least number of words are units of no level of these. The level of
+passages holds them: runs of consecutive sentences, across lines, each just long enough.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from rangelake.llm.common import ready
 
 #: Shorter units are left alone: a few common words may well meet again by chance.
 LEAST_WORDS = 8
-LEVELS = ("line", "sentence")
+LEVELS = ("line", "sentence", "passage")
 #: Tiles a line: up to the end of a run of stops, or up to the line's end.
 SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
@@ -39,7 +42,45 @@ def units(text: str, least: int):
         at += len(line) + 1
 
 
-def repeated_units(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
+def passages(text: str, least: int):
+    """Like units(): runs of consecutive sentences, across lines and blank ones, that join those of fewer words to their neighbours.
+
+    From each short sentence on and up to each short sentence, the shortest run with at least so many
+    words; a line's end ends a sentence. What repeats, sentence by sentence, with so many words in all
+    is covered by runs that lie in it and by sentences that are units themselves, whatever stands
+    around it. A text with fewer words in all has no run.
+    """
+    tiles = []
+    at = 0
+    for line in text.split("\n"):
+        for m in SENTENCE.finditer(line):
+            own = m[0].encode("utf-8", "surrogatepass").lower().split()
+            if own:
+                tiles.append((at + m.start(), at + m.end(), own))
+        at += len(line) + 1
+    runs = set()
+    first, last, inside = 0, -1, 0  # words of tiles first..last
+    for k, t in enumerate(tiles):  # the shortest run from each tile on
+        while last < len(tiles) - 1 and inside < least:
+            last += 1
+            inside += len(tiles[last][2])
+        if inside >= least and len(t[2]) < least:
+            runs.add((k, last))
+        inside -= len(t[2])
+    inside = 0
+    for k, t in enumerate(tiles):  # the shortest run up to each tile
+        inside += len(t[2])
+        while inside - len(tiles[first][2]) >= least:
+            inside -= len(tiles[first][2])
+            first += 1
+        if inside >= least and len(t[2]) < least:
+            runs.add((first, k))
+    for a, b in sorted(runs):
+        words = [w for t in tiles[a : b + 1] for w in t[2]]
+        yield 2, tiles[a][0], tiles[b][1], len(words), xxhash.xxh3_128_digest(b"2" + b" ".join(words))
+
+
+def repeated_units(docs: DataFrame, *, least_words: int = LEAST_WORDS, short_runs: bool = False) -> DataFrame:
     """One row per unit to remove: doc_id, level, start, end, n_words, keep_doc_id, keep_start.
 
     Null and empty texts have no units. Null doc_ids rank last. Rows that repeat one another, doc_id
@@ -47,34 +88,37 @@ def repeated_units(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFr
     other columns aren't read. Only digests and places are shuffled; a unit that a third of all
     documents share is one row a task in the grouping, and its occurrences meet their group in a join
     whose skewed partitions Spark splits. A line to remove may hold sentences to remove.
+    short_runs adds the level of passages; these may overlap, and one that overlaps the occurrence of
+    it that stays, in the same document, isn't removed.
     """
     ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = (units, passages) if short_runs else (units,)
 
     def run(batches):
         for b in batches:
-            out = [(d, *u[:4], int.from_bytes(u[4][:8], "little", signed=True), int.from_bytes(u[4][8:], "little", signed=True)) for d, t in zip(b["doc_id"], b["text"]) if t for u in units(t, least_words)]
+            out = [(d, *u[:4], int.from_bytes(u[4][:8], "little", signed=True), int.from_bytes(u[4][8:], "little", signed=True)) for d, t in zip(b["doc_id"], b["text"]) if t for found in kinds for u in found(t, least_words)]
             got = pd.DataFrame(out, columns=["doc_id", "level", "start", "end", "n_words", "hi", "lo"])
             if b["doc_id"].isna().any():
                 got["doc_id"] = got["doc_id"].astype(object).where(got["doc_id"].notna(), None)
             yield got
 
     every = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, level int, start int, end int, n_words int, hi long, lo long").checkpoint()
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end")
     # grouped by one column more than is joined on, so that the join has exchanges that can be split
-    groups = every.groupBy("hi", "lo", "level").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"))
-    again = every.join(groups, ["hi", "lo"]).filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("start") == F.col("keep_start"))))
-    level = F.when(F.col("level") == 0, LEVELS[0]).otherwise(LEVELS[1])
+    groups = every.groupBy("hi", "lo", "level").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), F.col("first.end").alias("keep_end"))
+    again = every.join(groups, ["hi", "lo"]).filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("start") < F.when(F.col("level") == 2, F.col("keep_end")).otherwise(F.col("keep_start") + 1)) & (F.col("start") >= F.col("keep_start"))))
+    level = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1)
     return again.select("doc_id", level.alias("level"), "start", "end", "n_words", "keep_doc_id", "keep_start")
 
 
-def without_repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, short_runs: bool = False) -> DataFrame:
     """docs with the repeated units cut out of text, and n_chars, if there is one, following it.
 
     Documents without such units stay as they are. Rows with one doc_id are taken as copies of one
     document; a null doc_id's text stays whole.
     """
-    cut = repeated_units(docs, least_words=least_words).filter(F.col("doc_id").isNotNull())
+    cut = repeated_units(docs, least_words=least_words, short_runs=short_runs).filter(F.col("doc_id").isNotNull())
     spans = cut.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     step = lambda a, s: F.struct(
         F.greatest(a["pos"], s["end"]).alias("pos"), F.when(s["start"] > a["pos"], F.concat(a["text"], F.substring("text", a["pos"] + 1, s["start"] - a["pos"]))).otherwise(a["text"]).alias("text")

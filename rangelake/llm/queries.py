@@ -61,6 +61,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_line_dedup's rows, and those of runs of short lines and sentences, which its SQL doesn't have."""
+    return repeated_units(table(spark, sf_dir, "documents"), short_runs=True)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -79,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_quality_rules, op5_secret_scan, op6_line_dedup, op7_minhash_dedup, op8_token_counts, op9_quality_gam, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_quality_rules, op5_secret_scan, op6_line_dedup, op6_passage_dedup, op7_minhash_dedup, op8_token_counts, op9_quality_gam, op10_packing)}
 
 
 def _op5_sql() -> str:

@@ -130,6 +130,30 @@ def test_repeated_units(corpus, odd, nothing):
     assert after == {i: "".join(c for k, c in enumerate(t) if k not in cuts[i]) for i, t in before.items()}
 
 
+def test_runs_of_short_lines_and_sentences(spark, corpus, odd, nothing):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    make = lambda n: " ".join(word() for _ in range(n))
+    bits = lambda: [make(rng.choice([1, 2, 3, 5, 7, 12])) for _ in range(25)]
+    repeat = {"lines": "\n".join(bits()), "blank": "\n\n".join(bits()), "sentences": ". ".join(bits()) + ".", "one": make(2) + ". " + make(1) + "! " + make(5) + "."}
+    texts = []
+    for k, t in repeat.items():
+        for _ in range(3):
+            texts.append((k, "\n".join(make(rng.randint(1, 6)) for _ in range(4)) + "\n", t, "\n" + "\n".join(make(rng.randint(1, 9)) for _ in range(4))))
+    docs = spark.createDataFrame([(i, a + t + b) for i, (_, a, t, b) in enumerate(texts)], "doc_id long, text string")
+    out = dict(rows_of(without_repeats(docs, short_runs=True)))
+    for i, (_, a, t, b) in enumerate(texts):
+        assert out[i] == a + t + b if i % 3 == 0 else not set(out[i].split()) & set(t.split()) and set(out[i].split()) == set((a + b).split())
+    lines = "\n".join(["one two", "three four five"] * 50)  # what stays keeps all its words
+    once = dict(rows_of(without_repeats(spark.createDataFrame([(1, lines), (2, lines)], "doc_id long, text string"), short_runs=True)))
+    assert once[1].split() == lines.split()[:10] and not once[2].split()
+    for df in (corpus, odd, docs):
+        every = repeated_units(df, short_runs=True).select("doc_id", "level", "start", "end", "keep_doc_id", "keep_start").distinct().collect()
+        same([r for r in every if r.level != "passage"], brute.repeats(rows_of(df), 8))
+        assert {r.level for r in every} <= {"line", "sentence", "passage"}
+    assert repeated_units(nothing, short_runs=True).count() == 0
+
+
 # --- secrets ----------------------------------------------------------------------------------
 
 TRICKY = ["token:token:abcdefgh", "token==abcdef", 'API_KEY = "abc123/x"', "password: abc", "AKIAAKIA" + "Z" * 20, "f" * 23 + "g" + "0" * 24 + " " + "a" * 60, "ſecret=abcdefg", "secret:\nabcdefg", "x" * 5000 + "passwd='longenough'" + "é" * 10 + "token=123456", "tokenſ=abcdefg", "eyJ" + "a" * 9 + "." + "b" * 9 + "." + "c" * 9, "-----BEGIN RSA PRIVATE KEY-----"]
