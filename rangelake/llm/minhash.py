@@ -6,12 +6,20 @@ the fewest matches that a linked pair is let have. Two nodes with T matches shar
 postings, in whatever order a prefix is taken, as long as all take the same. Values that a sample of
 nodes finds common come last in that order, so long lists are skipped.
 
-A list isn't expanded into all its pairs. Its nodes are first matched with a few pivots each; pairs with
-T matches make clusters, and where a list holds several clusters, all pairs across them that share
-OVERLAP lists are counted and merged in, so that any pair with T matches is within one cluster. In a
-cluster each node is first checked against its best match; the components so found are then compared
-block by block, and a block tells one link per node and component. Components are exact but for links
-that have fewer than T matches (for 64 coordinates and links at the limit, under one in a million).
+A list isn't expanded into all its pairs.
+
+1. Its nodes are matched with few pivots, the same ones in all lists that have them; pairs with T matches
+   make clusters.
+2. In a list that still holds several clusters, pairs across them are posted and their collisions
+   counted, if they are at most LIST_PAIRS; OVERLAP of them, and then T matches, merge two clusters. A
+   longer list puts its nodes into one cluster unseen, if they are in OVERLAP lists as long: whatever has
+   T matches is then within one cluster, and no list costs more than LIST_PAIRS rows or one row a node.
+3. In a cluster each node is first checked against its best match. What is still apart is compared on
+   full sets: small clusters in blocks, large ones through the rarest shingles of each set, by which any
+   two linked sets meet; where many sets share a rare shingle, those sets are compared in blocks.
+
+Components are exact but for links that have fewer than T matches (for 64 coordinates and links at the
+limit, under one in a million). With exact=True step 3 gets all nodes as one cluster, and none is missed.
 """
 
 from __future__ import annotations
@@ -36,8 +44,10 @@ MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 _draw = np.random.default_rng(20240229)
 FACTORS, SALTS = _draw.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1), _draw.integers(0, 1 << 63, COORDINATES, np.uint64)
 WORDS_KEPT = 200_000
-#: Hashes on each side of a block of comparisons, and columns of its matrices at a time.
-BLOCK, COLUMNS = 200_000, 4096
+#: Pairs that one list is expanded into at most.
+LIST_PAIRS = 2000
+#: Hashes and sets on each side of a block of comparisons; columns of its matrices, or pairs that meet, at a time.
+BLOCK, ROWS, COLUMNS, MEETS = 200_000, 2000, 4096, 4_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,23 +161,27 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("itemsa") + F.size("itemsb") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id of its component) and kept (it is that document).
 
     Links are pairs with 100 * intersection >= percent * union of their distinct shingles. Documents
     without a word have no shingles and link with nothing. Copies, near or exact, are never expanded
     into pairs. Rows that repeat one another are kept or dropped together; null doc_ids get the
     smallest doc_id that is not null of their component, or null. An empty table gives no rows; other
-    columns aren't read.
+    columns aren't read. exact finds links without regard to signatures, at the cost of a posting for
+    each rare shingle.
     """
     ready(docs.sparkSession)
-    least = fewest_matches(percent)
     rows = _features(docs, width)
     # grouped by one column more than is joined on: the join then has exchanges whose skewed parts Spark can split
     classes = rows.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("row").alias("node")).select("hi", "lo", "node")
     tagged = cut(rows.join(classes, ["hi", "lo"]).select("doc_id", "n", "node", "hi", "lo", "row", F.when(F.col("row") == F.col("node"), F.col("sig")).alias("sig")))
     nodes = tagged.filter("row = node").select("node", "doc_id", "n", "hi", "lo", "sig")
-    comp = _components(docs, nodes, width, percent, least)
+    if exact:
+        cluster = nodes.select("node", F.lit(0).cast("long").alias("comp"))
+        comp = _within(cluster, cluster.filter("false"), cut(_sets(docs, nodes, width)), percent)
+    else:
+        comp = _components(docs, nodes, width, percent, fewest_matches(percent))
     labelled = tagged.select("doc_id", "n", "node").join(comp, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
     smallest = labelled.groupBy("comp", F.pmod("comp", F.lit(2)).alias("_")).agg(F.min("doc_id").alias("component_id")).drop("_")
     out = labelled.join(smallest, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -210,41 +224,66 @@ def _components(docs: DataFrame, nodes: DataFrame, width: int, percent: int, lea
     live = cut(may_have(post, key_filter(shared, "key"), "key", "_hit").filter("_hit").select("key", "node"))
 
     # 1. every node with the pivots of its lists: pairs with enough matches make clusters
-    stars = None
-    for seed in range(SEEDS):
-        order = F.xxhash64("node", "key", F.lit(seed))
-        pivots = live.groupBy("key", F.pmod("key", F.lit(2)).alias("_")).agg(F.min(F.struct(order.alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("pivot"))
-        star = live.join(pivots, "key").filter("node <> pivot").select("node", "pivot").distinct()
-        stars = star if stars is None else stars.union(star)
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))["node"].alias(f"p{seed}") for seed in range(SEEDS)]
+    pivots = live.groupBy("key", F.pmod("key", F.lit(2)).alias("_")).agg(*first).drop("_")
+    stars = live.join(pivots, "key").select("node", F.explode(F.array(*(f"p{seed}" for seed in range(SEEDS)))).alias("pivot")).filter("node <> pivot")
     tried = cut(_alike(_pairs(stars, "node", "pivot").distinct(), nodes, percent, least))
     cluster = components(tried)
 
-    # 2. lists that hold several clusters: all pairs across them, each node outside the largest with all others
-    across = cut(_alike(_across(live, cluster), nodes, percent, least))
-    cluster = _merged(cluster, across)
+    # 2. lists that hold several clusters
+    across, unseen = _across(live, cluster, nodes, percent, least)
+    cluster = _merged(cluster, across.select("a", "b").union(unseen))
 
-    # 3. within clusters: each node with its best match, then what isn't one component yet, in blocks
-    ends = nodes.join(cluster, "node").select("node", "doc_id", "hi", "lo")
-    sets = cut(_sets(docs, ends, width))
+    # 3. within clusters: each node with its best match, then what isn't one component yet
+    sets = cut(_sets(docs, nodes.join(cluster, "node").select("node", "doc_id", "hi", "lo"), width))
     pairs = tried.union(across)
     best = pairs.union(pairs.select("b", "a", "matches")).groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     comp = components(cut(_links(_pairs(best, "a", "b").distinct(), sets, percent)))
-    return _merged(comp, _links_in_blocks(cluster, comp, sets, percent))
+    return _within(cluster, comp, sets, percent)
 
 
-def _across(live: DataFrame, cluster: DataFrame) -> DataFrame:
-    """Pairs of different clusters that share at least OVERLAP lists."""
+def _mixed(rows: DataFrame, *key: str) -> DataFrame:
+    """rows (key, node, comp, more) of the keys under which several components stand; adds main, the largest of them, and long: the key would make more than LIST_PAIRS pairs."""
+    more = F.pmod(F.xxhash64(*key), F.lit(2)).alias("_")  # as above: keys that many rows have can be split
+    parts = rows.groupBy(*key, more, "comp").agg(F.count("*").alias("c"))
+    several = parts.groupBy(*key, "_").agg(F.sum("c").alias("k"), F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("m")).filter("parts > 1")
+    return rows.join(several.select(*key, F.col("m.comp").alias("main"), ((F.col("k") - F.col("m.c")) * F.col("k") > LIST_PAIRS).alias("long")), list(key))
+
+
+def _met(rows: DataFrame, *key: str) -> DataFrame:
+    """(a, b, collisions): pairs of different components under the same key; rows are those of _mixed() that aren't long."""
+    other = rows.filter("comp <> main").select(*(F.col(k).alias(f"_{k}") for k in key), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    same = F.lit(True)
+    for k in key:
+        same &= F.col(k) == F.col(f"_{k}")
+    pairs = rows.join(other, same & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("_node"))))
+    return _pairs(pairs, "node", "_node").groupBy("a", "b").agg(F.count("*").alias("collisions"))
+
+
+def _across(live: DataFrame, cluster: DataFrame, nodes: DataFrame, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of different clusters with enough matches, (a, b) that are put together unseen): see step 2 above.
+
+    Of the OVERLAP lists that a pair with enough matches shares, some may be long; these count as
+    shared if both nodes are in so many. If all are long, each node is in OVERLAP long ones.
+    """
     labelled = live.join(cluster, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    counts = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = cut(labelled.join(largest, "key"))
-    other = mixed.filter("comp <> main").select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-    pairs = mixed.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") != F.col("_comp")) & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("_node"))))
-    return _pairs(pairs, "node", "_node").groupBy("a", "b").agg(F.count("*").alias("c")).filter(F.col("c") >= OVERLAP).select("a", "b")
+    mixed = cut(_mixed(labelled, "key"))
+    in_long = mixed.filter("long").groupBy("node").agg(F.count("*").alias("l"))
+    side = lambda c: in_long.select(F.col("node").alias(c), F.col("l").alias(f"l{c}"))
+    met = _met(mixed.filter("not long"), "key").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    enough = met.filter(F.col("collisions") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= OVERLAP)
+    hard = mixed.filter("long").join(in_long.filter(F.col("l") >= OVERLAP), "node").select("key", "node")
+    heads = hard.groupBy("key", F.pmod("key", F.lit(2)).alias("_")).agg(F.min("node").alias("b")).drop("_")
+    unseen = hard.join(heads, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return cut(_alike(enough.select("a", "b"), nodes, percent, least)), unseen
 
 
 def linked(items: list[np.ndarray], other: list[np.ndarray], percent: int) -> np.ndarray:
-    """[i, j]: whether items[i] and other[j] are linked; shared hashes are counted by a product of incidence matrices, some columns at a time."""
+    """[i, j]: whether items[i] and other[j] are linked.
+
+    Shared hashes are counted one meeting at a time where few meet, and else by a product of incidence
+    matrices, some columns at a time.
+    """
     na, nb = np.array([len(x) for x in items]), np.array([len(x) for x in other])
     fa, fb = np.concatenate(items), np.concatenate(other)
     vocab = np.intersect1d(fa, fb)
@@ -257,31 +296,70 @@ def linked(items: list[np.ndarray], other: list[np.ndarray], percent: int) -> np
 
     if len(vocab):
         (ra, ca), (rb, cb) = entries(fa, na), entries(fb, nb)
-        for k in range(0, len(vocab), COLUMNS):
-            a, b = np.zeros((len(items), COLUMNS), np.float32), np.zeros((len(other), COLUMNS), np.float32)
-            for m, r, c in ((a, ra, ca), (b, rb, cb)):
-                own = (c >= k) & (c < k + COLUMNS)
-                m[r[own], c[own] - k] = 1
-            shared += a @ b.T
+        per = np.bincount(cb, minlength=len(vocab))
+        meets = per[ca]
+        if meets.sum() * 50 < len(items) * len(other) * len(vocab):
+            rb = rb[np.argsort(cb, kind="stable")]
+            begin = (np.cumsum(per) - per)[ca]
+            done = np.cumsum(meets)
+            stops = [0, *np.searchsorted(done, np.arange(MEETS, done[-1], MEETS), "right"), len(ca)]
+            for i, j in zip(stops, stops[1:]):
+                n = meets[i:j]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[i:j], n)
+                flat = np.repeat(ra[i:j], n) * len(other) + rb[step]
+                shared += np.bincount(flat, minlength=shared.size).reshape(shared.shape)
+        else:
+            for k in range(0, len(vocab), COLUMNS):
+                a, b = np.zeros((len(items), COLUMNS), np.float32), np.zeros((len(other), COLUMNS), np.float32)
+                for m, r, c in ((a, ra, ca), (b, rb, cb)):
+                    own = (c >= k) & (c < k + COLUMNS)
+                    m[r[own], c[own] - k] = 1
+                shared += a @ b.T
     return 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
 
 
-def _links_in_blocks(cluster: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of one cluster; enough of them to join all that are linked.
+def _within(cluster: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """comp, with the components of one cluster joined that links connect.
 
-    Of each cluster with several components, the nodes outside its largest one are compared with all
-    its nodes, in blocks of about BLOCK hashes on either side; small clusters share a block. A block
-    gives one link at most for each node and component, so links within dense clusters aren't
-    expanded.
+    Only clusters with several components are looked at. Small ones go to _blocks(). In a large one a set
+    of n is posted under its n - percent * n / 100 + 1 rarest shingles in that cluster: two linked sets
+    meet there. Lists that make few pairs are expanded and the pairs checked; nodes of the other lists
+    go to _blocks().
     """
     own = cluster.withColumnRenamed("comp", "cluster").join(comp, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
     parts = own.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
     torn = parts.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("cluster", F.col("m.comp").alias("main"))
-    member = own.join(torn, "cluster").join(sets, "node").withColumn("other", F.col("comp") != F.col("main"))
-    member = cut(member)
+    member = cut(own.join(torn, "cluster").join(sets, "node").withColumn("other", F.col("comp") != F.col("main")).withColumn("weight", F.greatest(F.size("items"), F.lit(BLOCK // ROWS))))
+    totals = member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(F.sum("weight").alias("total")).filter(F.col("total") > BLOCK).select("cluster")
+    large = member.join(totals, "cluster", "left_semi")
+    if large.isEmpty():
+        return _merged(comp, _blocks(member, percent))
+    items = large.select("cluster", "node", F.explode("items").alias("item"))
+    often = items.groupBy("cluster", "item", F.pmod("item", F.lit(2)).alias("_")).agg(F.count("*").alias("df")).drop("_")
+    ranked = items.join(often, ["cluster", "item"]).groupBy("cluster", "node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("r"))
+    n = F.size("r")
+    rare = F.filter(F.slice("r", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1), lambda x: x["df"] > 1)
+    post = cut(ranked.select("cluster", "node", n.alias("n"), F.explode(rare["item"]).alias("item")).join(large.select("node", "comp"), "node"))
+    mixed = cut(_mixed(post, "cluster", "item"))
+    some = mixed.filter("not long")
+    few = _met(some, "cluster", "item").select("a", "b")
+    dense = member.join(mixed.filter("long").select("node").distinct(), "node", "left_semi")
+    small = member.join(totals, "cluster", "left_anti")
+    return _merged(comp, _links(few, sets, percent).union(_blocks(small.unionByName(dense), percent)))
+
+
+def _blocks(member: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of one cluster; enough of them to join all that are linked.
+
+    member: (node, cluster, comp, main, items, other, weight). Nodes outside a cluster's largest component
+    are compared with all its nodes, in blocks of about BLOCK hashes and ROWS sets on either side; small
+    clusters share a block. A block gives one link at most for each node and component, so links
+    within dense clusters aren't expanded.
+    """
+    member = cut(member.select("cluster", "node", "comp", "items", "other", "weight"))
     sizes = cut(member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(
-        F.ceil(F.sum(F.size("items")) / BLOCK).alias("all_blocks"), F.ceil(F.sum(F.when(F.col("other"), F.size("items"))) / BLOCK).alias("other_blocks"), F.sum(F.size("items")).alias("total")
-    ).drop("_"))
+        F.ceil(F.sum("weight") / BLOCK).alias("all_blocks"), F.coalesce(F.ceil(F.sum(F.when(F.col("other"), F.col("weight"))) / BLOCK), F.lit(0)).alias("other_blocks"), F.sum("weight").alias("total")
+    ).drop("_").filter("other_blocks > 0"))
     small = sizes.filter("all_blocks = 1").agg(F.coalesce(F.ceil(F.sum("total") / BLOCK), F.lit(1)).alias("n")).first()["n"]
     placed = member.join(sizes, "cluster")
     # a block is (x, y): x is one of the small clusters' bins, or the cluster; y numbers its pairs of blocks
