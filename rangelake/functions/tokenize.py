@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from rangelake.functions.registry import Registry
 
 #: What separates words of an index.
 SEPARATORS = " ,.;:-_/()"
+#: White space of the named tokenizers: more than the six ASCII characters of Java's own class.
+SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _runs(value: Column, character: str, least: int) -> Column:
@@ -24,27 +28,31 @@ def words(value: Column, *, least: int = 2, lower: bool = True, separators: str
 
 def ngrams(kept: Column, longest: int) -> Column:
     """All runs of 2 to longest kept words, joined by a space."""
-    runs = F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), F.size(kept))), lambda n: F.transform(F.sequence(F.lit(1), F.size(kept) - n + 1), lambda i: F.array_join(F.slice(kept, i, n), " ")))
+    places = lambda n: F.sequence(F.lit(1), F.size(kept) - n + 1)
+    runs = F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), F.size(kept))), lambda n: F.transform(places(n), lambda i: F.array_join(F.slice(kept, i, n), " ")))
     return F.when((F.size(kept) > 1) & F.lit(longest > 1), F.flatten(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def word_split(value: Column) -> Column:
-    return _runs(value, r"[^\s,.\-_/();:]", 2)
+    return _runs(value, rf"[^{SPACE},.\-_/();:]", 2)
 
 
 def whitespace(value: Column) -> Column:
-    return _runs(value, r"\S", 1)
+    return _runs(value, f"[^{SPACE}]", 1)
+
+
+def _once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """build(value), in which value is worked out once, however often build names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), build), 1)
 
 
 def ngram_2(value: Column) -> Column:
-    kept = _runs(value, r"\S", 2)
-    return F.concat(kept, ngrams(kept, 2))
+    return _once(_runs(value, f"[^{SPACE}]", 2), lambda kept: F.concat(kept, ngrams(kept, 2)))
 
 
 def char_ngram_3(value: Column) -> Column:
-    """Every three characters in a row of the lower-cased text without white space."""
-    s = F.regexp_replace(F.lower(value), r"\s+", "")
-    return F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """Every three characters in a row of the lower-cased text without white space: one pass that looks ahead at each place."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(value), f"[{SPACE}]+", ""), F.lit("(?s)(?=(...))"), F.lit(1))
 
 
 TOKENIZERS = Registry("tokenizer", **{"word-split": word_split, "whitespace": whitespace, "ngram-2": ngram_2, "char-ngram-3": char_ngram_3})

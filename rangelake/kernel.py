@@ -8,6 +8,8 @@ import re
 DEFAULT_COLLECTIONS = ("items", "data", "results", "products", "records", "entries", "list", "array")
 MAX_OBJECT_SIZE = 10 * 1024 * 1024
 MAX_DEPTH = 64
+#: A token of a path scan may be as long as a read buffer or an object, whichever is larger.
+BUFFER_SIZE = 64 * 1024
 INVALID_STRUCTURE = "Invalid JSON structure"
 
 _STRING = rb'"([^"\\]*+(?:\\.[^"\\]*+)*+)'
@@ -146,98 +148,152 @@ def path_segments(path: str, strict: bool) -> list[str]:
     return parts if strict else [fold(p) for p in parts]
 
 
-def path_ranges(data: bytes, segments: list[str], *, strict: bool = False, utf8: bool = False, max_size: int = MAX_OBJECT_SIZE, keep_errors: bool = True):
+class PathScanner:
+    """A path scan of text that comes in pieces: step() reads the whole tokens of what it is given.
+
+    out gets (item_index, start, length); error is set where the text isn't JSON; done where nothing
+    more needs to be read. start is where the object begins that is being read, or -1.
+    """
+
+    def __init__(self, segments: list[str], *, strict: bool = False, max_size: int = MAX_OBJECT_SIZE, keep_errors: bool = True, buffer_size: int = BUFFER_SIZE):
+        self.segments, self.strict, self.max_size, self.keep_errors = segments, strict, max_size, keep_errors
+        self.most = max(max_size, buffer_size)
+        self.out: list[tuple[int, int, int]] = []
+        self.path: list[str] = []
+        self.stack: list[tuple[bytes, bool, bool]] = []  # opener, whether it added to the path, whether it is the target
+        self.found, self.key, self.start, self.begun = False, None, -1, 0
+        # what may come next: a value, a value or ], a key or }, a key, a colon, a comma or the end of the container
+        self.want = "value"
+        self.error: str | None = None
+        self.done = False
+
+    def fail(self, why: str) -> None:
+        self.error, self.done = f"Path scan failed: {why}", True
+
+    def step(self, data: bytes, base: int, pos: int, final: bool) -> int:
+        """Reads data, which stands at byte base of the document, from pos on; the place after the last whole token."""
+        out, path, stack, segments = self.out, self.path, self.stack, self.segments
+        found, key, start, begun, want = self.found, self.key, self.start, self.begun, self.want
+        why, clean = None, None
+        while True:
+            if found and stack[-1][2] and want in ("value", "value]") and len(stack) < MAX_DEPTH - 1 and (m := _FLAT.match(data, pos)) and m.end() - m.start(1) <= self.most:
+                if clean is None:
+                    clean = utf8_error(data) is None
+                if clean or utf8_error(m[1]) is None:  # names are decoded, so their bytes have to be UTF-8
+                    pos, length = m.end(), m.end() - m.start(1)
+                    if length <= self.max_size:
+                        out.append((len(out), base + m.start(1), length))
+                    elif not self.keep_errors:
+                        why = f"Object size ({length}) exceeds maximum ({self.max_size})"
+                        break
+                    start, key, want = -1, None, "end"
+                    continue
+            m = _TOKEN.match(data, pos)
+            if m is None or (m.end() == len(data) and not final and m[1] is None and m[2] is None):
+                rest = data[pos:].lstrip(b" \t\n\r")
+                if not final:
+                    if len(rest) > self.most:
+                        why = f"a token at byte {base + len(data) - len(rest)} is longer than {self.most}"
+                    break
+                if want == "end" and not stack and not rest:
+                    self.done = True
+                else:
+                    why = f"malformed JSON at byte {base + pos}" if rest else "the text ends too early"
+                break
+            at, after = m.end() - len(m[m.lastindex]), m.end()
+            if after - at > self.most:
+                why = f"a token at byte {base + at} is longer than {self.most}"
+                break
+            c, text = m[1], m[2]
+            bad = f"malformed JSON at byte {base + at}"
+            if want == "end" and not stack:
+                why = bad
+                break
+            if c in (b"{", b"["):
+                if want not in ("value", "value]"):
+                    why = bad
+                    break
+                if len(stack) >= MAX_DEPTH:
+                    why = f"deeper than {MAX_DEPTH} at byte {base + at}"
+                    break
+                in_target = bool(stack) and stack[-1][2]
+                pushed = key is not None
+                if pushed:
+                    path.append(key)
+                    key = None
+                target = c == b"[" and not found and path == segments
+                found |= target
+                stack.append((c, pushed, target))
+                if c == b"{" and in_target:
+                    start, begun = base + at, len(stack)
+                want = "key}" if c == b"{" else "value]"
+            elif c in (b"}", b"]"):
+                opener = b"{" if c == b"}" else b"["
+                if not stack or stack[-1][0] != opener or want not in ("end", "key}" if c == b"}" else "value]"):
+                    why = bad
+                    break
+                _, pushed, target = stack.pop()
+                if pushed:
+                    path.pop()
+                key, want = None, "end"
+                if target:
+                    pos, self.done = after, True
+                    break
+                if c == b"}" and start >= 0 and len(stack) == begun - 1:
+                    length = base + after - start
+                    if length <= self.max_size:
+                        out.append((len(out), start, length))
+                    elif not self.keep_errors:
+                        why = f"Object size ({length}) exceeds maximum ({self.max_size})"
+                        break
+                    start = -1
+            elif c == b":":
+                if want != "colon":
+                    why = bad
+                    break
+                want = "value"
+            elif c == b",":
+                if want != "end" or not stack:
+                    why = bad
+                    break
+                want = "key" if stack[-1][0] == b"{" else "value"
+            elif text is not None and want in ("key", "key}"):
+                try:
+                    name = json.loads(text)
+                except ValueError as e:
+                    why = str(e)
+                    break
+                key, want = name if self.strict else fold(name), "colon"
+            elif want in ("value", "value]"):
+                key, want = None, "end"
+            else:
+                why = bad
+                break
+            pos = after
+        self.found, self.key, self.start, self.begun, self.want = found, key, start, begun, want
+        if why is not None:
+            self.fail(why)
+        return pos
+
+
+def path_ranges(data: bytes, segments: list[str], *, strict: bool = False, utf8: bool = False, max_size: int = MAX_OBJECT_SIZE, keep_errors: bool = True, buffer_size: int = BUFFER_SIZE):
     """(document error, [(item_index, start, length)]) of the first array at a path of names.
 
     Arrays on the way add nothing to the path. Objects that lie directly in the array count; those over
     max_size are left out, without taking an index, or fail the scan. Reading stops at the array's end.
-    Text that isn't JSON up to there fails the scan, and a failed scan has no ranges.
+    Text that isn't JSON up to there fails the scan, and so does a single token over max_size and
+    buffer_size; a failed scan has no ranges.
     """
+    return path_scan(data, segments, strict=strict, utf8=utf8, max_size=max_size, keep_errors=keep_errors, buffer_size=buffer_size)[:2]
+
+
+def path_scan(data: bytes, segments: list[str], *, utf8: bool = False, **options):
+    """What path_ranges() gives, and the number of bytes read."""
     if utf8 and (e := utf8_error(data)):
-        return f"Path scan failed: {e}", []
-    failed = lambda why: (f"Path scan failed: {why}", [])
-    pos = 3 if data.startswith(BOM) else 0
-    out: list[tuple[int, int, int]] = []
-    path: list[str] = []
-    stack: list[tuple[bytes, bool, bool]] = []  # opener, whether it added to the path, whether it is the target
-    found, key, start, begun = False, None, -1, 0
-    # what may come next: a value, a value or ], a key or }, a key, a colon, a comma or the end of the container
-    want = "value"
-    while True:
-        if found and stack[-1][2] and want in ("value", "value]") and len(stack) < MAX_DEPTH - 1 and (m := _FLAT.match(data, pos)):
-            start, pos = m.start(1), m.end()
-            try:  # names are decoded, so their bytes have to be UTF-8
-                m[1].decode("utf-8")
-            except UnicodeDecodeError:
-                pos, start = m.start(1), -1
-            else:
-                length = pos - start
-                if length <= max_size:
-                    out.append((len(out), start, length))
-                elif not keep_errors:
-                    return failed(f"Object size ({length}) exceeds maximum ({max_size})")
-                start, key, want = -1, None, "end"
-                continue
-        m = _TOKEN.match(data, pos)
-        if m is None:
-            if want == "end" and not stack and not data[pos:].strip(b" \t\n\r"):
-                return None, out
-            return failed(f"malformed JSON at byte {pos}" if data[pos:].strip(b" \t\n\r") else "the text ends too early")
-        at, pos = m.end() - len(m[m.lastindex]), m.end()
-        c, text = m[1], m[2]
-        if want == "end" and not stack:
-            return failed(f"malformed JSON at byte {at}")
-        if c in (b"{", b"["):
-            if want not in ("value", "value]"):
-                return failed(f"malformed JSON at byte {at}")
-            if len(stack) >= MAX_DEPTH:
-                return failed(f"deeper than {MAX_DEPTH} at byte {at}")
-            in_target = bool(stack) and stack[-1][2]
-            pushed = key is not None
-            if pushed:
-                path.append(key)
-                key = None
-            target = c == b"[" and not found and path == segments
-            found |= target
-            stack.append((c, pushed, target))
-            if c == b"{" and in_target:
-                start, begun = at, len(stack)
-            want = "key}" if c == b"{" else "value]"
-        elif c in (b"}", b"]"):
-            opener = b"{" if c == b"}" else b"["
-            if not stack or stack[-1][0] != opener or want not in ("end", "key}" if c == b"}" else "value]"):
-                return failed(f"malformed JSON at byte {at}")
-            _, pushed, target = stack.pop()
-            if pushed:
-                path.pop()
-            key, want = None, "end"
-            if target:
-                return None, out
-            if c == b"}" and start >= 0 and len(stack) == begun - 1:
-                length = pos - start
-                if length <= max_size:
-                    out.append((len(out), start, length))
-                elif not keep_errors:
-                    return failed(f"Object size ({length}) exceeds maximum ({max_size})")
-                start = -1
-        elif c == b":":
-            if want != "colon":
-                return failed(f"malformed JSON at byte {at}")
-            want = "value"
-        elif c == b",":
-            if want != "end" or not stack:
-                return failed(f"malformed JSON at byte {at}")
-            want = "key" if stack[-1][0] == b"{" else "value"
-        elif text is not None and want in ("key", "key}"):
-            try:
-                name = json.loads(text)
-            except ValueError as e:
-                return failed(str(e))
-            key, want = name if strict else fold(name), "colon"
-        elif want in ("value", "value]"):
-            key, want = None, "end"
-        else:
-            return failed(f"malformed JSON at byte {at}")
+        return f"Path scan failed: {e}", [], len(data)
+    scanner = PathScanner(segments, **options)
+    pos = scanner.step(data, 0, 3 if data.startswith(BOM) else 0, True)
+    return scanner.error, [] if scanner.error else scanner.out, pos
 
 
 def top_level_arrays(data: bytes | str) -> list[str] | None:

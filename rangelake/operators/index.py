@@ -11,6 +11,7 @@ from pyspark.sql.functions import arrow_udf
 
 from rangelake import kernel
 from rangelake.functions import match, tokenize
+from rangelake.operators.scan import scan_collections
 
 MAX_FETCH_SIZE = 1024 * 1024
 _FIELD = pa.list_(pa.struct([("field", pa.string()), ("number", pa.int32()), ("value", pa.string())]))
@@ -53,13 +54,15 @@ def build_index(
 
 
 def postings_lists(index: DataFrame, *keys: str) -> DataFrame:
-    """keys, keyword and its distinct offsets, ascending."""
+    """keys, keyword and its distinct offsets, ascending. keys have to tell documents apart, so that a list is no longer than one document's."""
+    if not keys:
+        raise ValueError("offsets mean nothing without the columns that name their document")
     return index.groupBy(*keys, "keyword").agg(F.sort_array(F.collect_set("start_position")).alias("offsets"))
 
 
 def save_index(index: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Parquet in ranges of keywords, sorted in each file, so that a prefix reads few row groups."""
-    index.repartitionByRange("keyword").sortWithinPartitions("keyword").write.mode(mode).parquet(path)
+    """Parquet in ranges of keywords, sorted in each file, so that a prefix reads few row groups. A keyword of many postings is split by position."""
+    index.repartitionByRange("keyword", "start_position").sortWithinPartitions("keyword", "start_position").write.mode(mode).parquet(path)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
@@ -78,6 +81,14 @@ def search_objects(index: DataFrame, ranges: DataFrame, text: str, *, keep: Sequ
     return ranges.filter(F.col("length") <= max_object_size).join(hits, [*keep, "start_position"], "left_semi")
 
 
+def fetch_objects(index: DataFrame, docs: DataFrame, content: str, targets: Sequence[str] | None, text: str, *, keep: Sequence[str], max_object_size: int = MAX_FETCH_SIZE) -> DataFrame:
+    """Like search_objects(), from documents: those without a hit are never scanned. keep has to name the documents."""
+    hits = search(index, text, keep=keep)
+    found = docs.join(hits.select(*keep).distinct(), list(keep), "left_semi")
+    ranges = scan_collections(found, content, targets, keep=keep, include_content=True, hashes=False, validate_utf8=False, validate_structure=False)
+    return ranges.filter(F.col("length") <= max_object_size).join(hits, [*keep, "start_position"], "left_semi")
+
+
 def semantic_search(index: DataFrame, ranges: DataFrame, term: str, *, keep: Sequence[str] = (), max_results: int = 10) -> DataFrame:
     """The first max_results matching objects by position; the term is trimmed of nothing but lower-cased. Blank terms raise."""
     if not term or not term.strip():
@@ -99,5 +110,6 @@ def match_objects(ranges: DataFrame, text: str, content: str = "content", *, kee
 
 
 def highlight(value: Column, term: str) -> Column:
-    """value with hits of term, in any case, between <mark> and </mark>."""
-    return F.regexp_replace(value, f"(?i)(\\Q{term}\\E)", "<mark>$1</mark>") if term else value
+    """value with hits of term, in any case of any alphabet, between <mark> and </mark>."""
+    literal = "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in term)
+    return F.regexp_replace(value, f"(?iu)({literal})", "<mark>$1</mark>") if term else value

@@ -61,16 +61,17 @@ def _collections_udf(targets, validate_utf8, validate_structure, max_object_size
     return run
 
 
-def _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error):
+def _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error, buffer_size=kernel.BUFFER_SIZE):
     if not json_path or not json_path.strip():
         raise ValueError("JSON path cannot be empty")
     segments = kernel.path_segments(json_path, strict)
+    options = {"strict": strict, "utf8": validate_utf8, "max_size": max_object_size, "keep_errors": continue_on_error, "buffer_size": buffer_size}
 
     @arrow_udf(RESULT)
     def run(v: pa.Array) -> pa.Array:
         rows = []
         for d in _bytes(v):
-            error, found = (None, []) if d is None else kernel.path_ranges(d, segments, strict=strict, utf8=validate_utf8, max_size=max_object_size, keep_errors=continue_on_error)
+            error, found = (None, []) if d is None else kernel.path_ranges(d, segments, **options)
             rows.append((error, [(None, 0, i, s, n, None) for i, s, n in found]))
         return _result(rows)
 
@@ -121,22 +122,48 @@ def scan_errors(df: DataFrame, content: str, targets: Sequence[str] | None = Non
 
 def extract_path(
     df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = (), strict: bool = False, include_content: bool = True, hashes: bool = True,
-    validate_utf8: bool = False, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True,
+    validate_utf8: bool = False, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True, buffer_size: int = kernel.BUFFER_SIZE,
 ) -> DataFrame:
     """A row per object that lies directly in the first array at json_path: keep, json_path, item_index, start_position, length, end_position, hash, content, error.
 
     Names are compared without regard to case unless strict. Objects over the size limit are left out
-    and take no index. Documents that aren't JSON up to the array's end give no rows: see path_errors.
+    and take no index; a single token over both that limit and buffer_size fails its document. Documents
+    that fail, or aren't JSON up to the array's end, give no rows: see path_errors.
     """
-    found = _exploded(df, content, _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error), keep)
+    found = _exploded(df, content, _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error, buffer_size), keep)
     return _with_bytes(found, keep, include_content, hashes, F.lit(json_path).alias("json_path"))
 
 
-def path_errors(df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = (), strict: bool = False, validate_utf8: bool = False, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True) -> DataFrame:
-    udf = _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error)
+def path_errors(
+    df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = (), strict: bool = False, validate_utf8: bool = False,
+    max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True, buffer_size: int = kernel.BUFFER_SIZE,
+) -> DataFrame:
+    """keep and doc_error of the documents whose path scan fails."""
+    udf = _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error, buffer_size)
     return _doc_errors(df, content, udf, keep)
 
 
+def path_stats(
+    df: DataFrame, content: str, json_path: str, *, key: str, strict: bool = False, validate_utf8: bool = False,
+    max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True, buffer_size: int = kernel.BUFFER_SIZE,
+) -> DataFrame:
+    """Per document: key, bytes_processed (up to the array's end, if there is one), objects_found and error_count.
+
+    A failed document counts one error and no objects; null documents have no bytes.
+    """
+    segments = kernel.path_segments(json_path, strict)
+    options = {"strict": strict, "utf8": validate_utf8, "max_size": max_object_size, "keep_errors": continue_on_error, "buffer_size": buffer_size}
+    kind = [("bytes_processed", pa.int64()), ("objects_found", pa.int64()), ("error_count", pa.int64())]
+
+    @arrow_udf("struct<bytes_processed: bigint, objects_found: bigint, error_count: bigint>")
+    def run(v: pa.Array) -> pa.Array:
+        got = [(None, [], 0) if d is None else kernel.path_scan(d, segments, **options) for d in _bytes(v)]
+        columns = [pa.array([x[k] for x in ((n, len(found), int(error is not None)) for error, found, n in got)], pa.int64()) for k in range(3)]
+        return pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in kind])
+
+    return df.select(key, F.inline_outer(F.array(run(binary(content)))))
+
+
 def index_path(df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = ()) -> DataFrame:
     """keep, start_position, end_position and content of extract_path."""
     return extract_path(df, content, json_path, keep=keep).select(*keep, "start_position", "end_position", "content")
@@ -157,7 +184,7 @@ def with_properties(ranges: DataFrame, extractor: Column | Callable[[str], dict]
     """ranges (with content) and properties map<string,string>.
 
     extractor: a Column over content, or a Python function of the text that runs in Arrow batches; where
-    it raises, properties are null and error says so, unless there is an error already.
+    it raises, properties are null and error says so.
     """
     if isinstance(extractor, Column):
         return ranges.withColumn("properties", extractor)

@@ -14,9 +14,15 @@ from rangelake.functions.json import binary
 _PAIR = pa.list_(pa.struct([("keyword", pa.string()), ("datum", pa.string())]))
 
 
-def build_terms(df: DataFrame, words: Column, datum: Column, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, keyword and datum: a row per item and word; null and empty words give none, repeats stay."""
-    return df.select(*keep, F.explode(words).alias("keyword"), datum.alias("datum")).filter("keyword <> ''")
+def utf8_safe(c: Column) -> Column:
+    """Text without what isn't UTF-8, such as half a pair of surrogates."""
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.regexp_replace(F.make_valid_utf8(c), "\ufffd", ""))
+
+
+def build_terms(df: DataFrame, words: Column, datum: Column, *, keep: tuple[str, ...] = (), ensure_utf8: bool = True) -> DataFrame:
+    """keep, keyword and datum: a row per item and word; null and empty words give none, repeats stay. ensure_utf8 drops from keywords what isn't UTF-8."""
+    found = df.select(*keep, F.explode(words).alias("keyword"), datum.alias("datum"))
+    return (found.withColumn("keyword", utf8_safe(F.col("keyword"))) if ensure_utf8 else found).filter("keyword <> ''")
 
 
 def prefix_search(terms: DataFrame, text: str, *, normalize: bool = False) -> DataFrame:

@@ -52,6 +52,7 @@ class ScanPlan:
         return replace(self, validate_utf8=False, validate_structure=False)
 
     def stop_on_error(self) -> ScanPlan:
+        """Rows with an error, of the scan, of an own validator or of an extractor that raises, are left out."""
         return replace(self, continue_on_error=False)
 
     def run(self) -> DataFrame:
@@ -61,11 +62,12 @@ class ScanPlan:
         )
         if self.validator is not None:
             out = ops.with_validation(out, self.validator)
-            out = out if self.continue_on_error else out.filter("error is null")
         if self.extractor is not None:
             out = ops.with_properties(out, self.extractor)
         elif self.validator is None:
             return out
+        if not self.continue_on_error:
+            out = out.filter("error is null")
         return out if self.include_content else out.drop("content")
 
     def errors(self) -> DataFrame:

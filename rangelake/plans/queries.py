@@ -6,7 +6,9 @@ tell every offset from the lengths of the pieces before it, without a JSON reade
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from rangelake.operators.validate import validation_report
 from rangelake.plans.builder import extract, scan
 from rangelake.sources import generate as gen
 from rangelake.sources.chunked import JsonRangesSource
-from rangelake.sources.files import from_text, read_or_report
+from rangelake.sources.files import from_text, read_or_report, remove
 from rangelake.streaming.streams import append_parquet, read_document_stream, stream_index
 
 OVERSIZE, LIMIT = 900, 20
@@ -125,10 +127,14 @@ def _matches(engine: str, query: str):
     return lambda spark, d: spark.read.parquet(f"{d}/part.parquet").filter(match.ENGINES.get(engine)(F.col("p_name"), F.lit(query))).select("p_partkey", "p_name")
 
 
+#: A text whose words are also separated by a no-break space, an ideographic space and a tab; the same in both engines.
+_TOKEN_TEXT = "replace(replace(replace(coalesce(text, ''), ', ', ',\u00a0'), '. ', '.\u3000'), ' de ', chr(9) || 'de-')"
+
+
 def _tokens(name: str):
     def run(spark, d):
-        rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.posexplode(tokenize.TOKENIZERS.get(name)(F.concat_ws("-", "p_name", F.lower("p_type")))).alias("position", "token"))
-        return rows.groupBy("token").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
+        rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(tokenize.TOKENIZERS.get(name)(F.expr(_TOKEN_TEXT))).alias("token"))
+        return rows.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
     return run
 
@@ -144,29 +150,37 @@ def _bytes_safe(spark, d):
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that all executors see, for queries that need files."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rangelake-")
+    """A new folder that all executors see, for queries that need files; what is in it goes when the session ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    path = f"{at or tempfile.mkdtemp(prefix='rangelake-')}/query-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
 
 
-def _index_stream(spark, d):
-    import uuid
+def _written(spark, d, kind: str) -> str:
+    """A folder with a file for each document."""
+    at = _shared(spark)
+    docs(spark, d, kind).select("k", F.col("content").cast("string").alias("value")).write.partitionBy("k").text(at)
+    return at
+
 
-    at = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+def _index_stream(spark, d):
+    at = _shared(spark)
     docs(spark, d, "part").select(F.col("content").cast("string").alias("value")).write.text(f"{at}/docs")
     postings = stream_index(read_document_stream(spark, f"{at}/docs/part-*"), ["items"], keep=(), fields=["name"])
     append_parquet(postings, f"{at}/index", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/index").groupBy("keyword").agg(F.count("*").alias("n"))
 
 
-def _chunked(spark, d):
-    import uuid
-
-    at = f"{_shared(spark)}/chunks-{uuid.uuid4().hex}"
-    docs(spark, d, "part").coalesce(1).select(F.col("content").cast("string").alias("value")).write.text(at)
+def _chunks(spark, path: str, stream: bool = False, **options):
     spark.dataSource.register(JsonRangesSource)
-    paths = [r[0] for r in spark.read.format("binaryFile").load(f"{at}/part-*").select("path").collect()]
-    found = spark.read.format("json_ranges").option("path", ",".join(p.removeprefix("file:") for p in paths)).option("targets", "items").option("chunkSize", "4096").load()
-    return found.groupBy("collection").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.count("error").alias("errors"))
+    return (spark.readStream if stream else spark.read).format("json_ranges").options(path=path, **options).load()
+
+
+def _chunked(spark, d):
+    return _chunks(spark, _written(spark, d, "part"), targets="items", chunkSize=4096).groupBy("collection").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.count("error").alias("errors"))
 
 
 def _missing_files(spark, d):
@@ -216,7 +230,7 @@ QUERIES = {
     "trie_prefix": lambda s, d: tm.prefix_search(_part_terms(s, d), "bo").select("keyword", "datum"),
     "trie_exact": lambda s, d: tm.contains_exact(_part_terms(s, d), "bolt").union(tm.contains_exact(_part_terms(s, d), "bol")),
     "trie_count": lambda s, d: tm.term_count(_part_terms(s, d)),
-    "trie_ordered": lambda s, d: tm.ordered_matches(tm.prefix_search(_part_terms(s, d), " R", normalize=True).select("keyword").distinct()).limit(LIMIT),
+    "trie_ordered": lambda s, d: tm.ordered_matches(tm.prefix_search(_part_terms(s, d), " R", normalize=True).select("keyword").distinct()),
     "trie_json_terms": lambda s, d: tm.json_terms(s.read.parquet(f"{d}/events.parquet"), "props", keep=("event_id",)),
     "trie_json_words": lambda s, d: tm.json_terms(docs(s, d, "sup"), "content", keep=("k",)).groupBy("k", "keyword", "datum").agg(F.count("*").alias("n")),
     "index_postings": lambda s, d: _part_index(s, d),
@@ -227,7 +241,7 @@ QUERIES = {
     "postings_lists": lambda s, d: ix.postings_lists(_part_index(s, d), "k").select("k", "keyword", F.size("offsets").alias("n"), F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets")),
     "search_prefix": lambda s, d: ix.search(_part_index(s, d), "bo", keep=["k"]),
     "search_phrase": lambda s, d: ix.search(_part_index(s, d, ngrams=True), "red b", keep=["k"]),
-    "search_objects": lambda s, d: ix.search_objects(_part_index(s, d), _part_ranges(s, d), "bo", keep=["k"]).select("k", "start_position", "content"),
+    "search_objects": lambda s, d: ix.fetch_objects(_part_index(s, d), docs(s, d, "part"), "content", ["items"], "bo", keep=["k"]).select("k", "start_position", "content"),
     "search_objects_topk": lambda s, d: ix.semantic_search(_part_index(s, d), _part_ranges(s, d), "BO", keep=["k"], max_results=LIMIT).select("k", "start_position", "content"),
     "match_prefix": _matches("prefix", "RE"),
     "match_contains": _matches("contains", "OL"),
@@ -241,7 +255,7 @@ QUERIES = {
     "tok_char3": _tokens("char-ngram-3"),
     "validate_report": _validate,
     "validate_bytes": _bytes_safe,
-    "table_sort": lambda s, d: table_sort(s.read.parquet(f"{d}/supplier.parquet"), "s_suppkey", descending=True).limit(LIMIT).select("s_suppkey", "s_name"),
+    "table_sort": lambda s, d: table_sort(s.read.parquet(f"{d}/supplier.parquet"), "s_suppkey", descending=True).select("s_suppkey", "s_name"),
     "table_filter": lambda s, d: table_filter(s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey"), "07"),
     "upload_cap": lambda s, d: from_text(s.read.parquet(f"{d}/documents.parquet"), "text", most_bytes=OVERSIZE).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")),
     "missing_files": _missing_files,
@@ -256,9 +270,6 @@ _WORDS = "string_split_regex(p_name, '[ ,.;:_-]+')"
 def _part_words(least: int) -> str:
     return f"SELECT k, s AS start_position, unnest(list_filter(string_split_regex(lower(regexp_extract(p, '\"name\":\"([^\"]*)\"', 1)), '[ ,.;:_/()-]+'), lambda w: length(w) >= {least})) AS keyword FROM ({_pieces('part')})"
 
-_TOKEN_TEXT = "p_name || '-' || lower(p_type)"
-
-
 def _conv_words(lower: bool, least: int) -> str:
     """Words of each string of a turn, as a list in its order."""
     f = "lower" if lower else ""
@@ -267,7 +278,25 @@ def _conv_words(lower: bool, least: int) -> str:
 
 
 def _token_sql(tokens: str) -> str:
-    return f"SELECT token, count(*) AS n, min(p_partkey) AS first_key FROM (SELECT p_partkey, unnest({tokens}) AS token FROM (SELECT p_partkey, {_TOKEN_TEXT} AS v FROM part)) GROUP BY token"
+    """tokens: an expression over v, in which all white space has become spaces by a table of characters."""
+    return f"""SELECT token, count(*) AS n, min(doc_id) AS first_id FROM (
+  SELECT doc_id, unnest({tokens}) AS token FROM (SELECT doc_id, translate({_TOKEN_TEXT}, chr(160) || chr(12288) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12), '       ') AS v FROM documents)) GROUP BY token"""
+
+
+_SPACED = "list_filter(string_split(v, ' '), lambda w: length(w) >= {0})"
+_TOKEN_SQL = {
+    "tok_word_split": _token_sql("list_filter(string_split(translate(v, ',.-_/();:', '         '), ' '), lambda w: length(w) >= 2)"),
+    "tok_whitespace": _token_sql(_SPACED.format(1)),
+    "tok_ngram2": f"""WITH t AS (SELECT doc_id, row_number() OVER () AS r, {_SPACED.format(2)} AS ws FROM (
+  SELECT doc_id, translate({_TOKEN_TEXT}, chr(160) || chr(12288) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12), '       ') AS v FROM documents)),
+w AS (SELECT doc_id, r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS a FROM t),
+b AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY r ORDER BY i) AS z FROM w)
+SELECT token, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, a AS token FROM b UNION ALL SELECT doc_id, a || ' ' || z FROM b WHERE z IS NOT NULL) GROUP BY token""",
+    "tok_char3": f"""WITH t AS (SELECT doc_id, row_number() OVER () AS r, string_split(lower(translate({_TOKEN_TEXT}, ' ' || chr(160) || chr(12288) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12), '')), '') AS cs FROM documents),
+c AS (SELECT doc_id, r, unnest(range(1, len(cs) + 1)) AS i, unnest(cs) AS a FROM t),
+g AS (SELECT doc_id, a || lead(a) OVER p || lead(a, 2) OVER p AS token FROM c WINDOW p AS (PARTITION BY r ORDER BY i))
+SELECT token, count(*) AS n, min(doc_id) AS first_id FROM g WHERE token IS NOT NULL GROUP BY token""",
+}
 
 
 ORACLE_SQL = {
@@ -300,7 +329,7 @@ UNION ALL SELECT k, 'flags', i, f.s + o, cast(n AS BIGINT), f.s + o + n, h FROM
     "trie_prefix": f"SELECT keyword, p_partkey AS datum FROM (SELECT p_partkey, unnest({_WORDS}) AS keyword FROM part) WHERE starts_with(keyword, 'bo')",
     "trie_exact": f"WITH w AS (SELECT unnest({_WORDS}) AS keyword FROM part) SELECT (SELECT count(*) FROM w WHERE keyword = x) > 0 AS found FROM (VALUES ('bolt'), ('bol')) v(x)",
     "trie_count": f"SELECT count(*) AS n_terms FROM (SELECT unnest({_WORDS}) AS keyword FROM part) WHERE keyword <> ''",
-    "trie_ordered": f"SELECT DISTINCT keyword FROM (SELECT unnest({_WORDS}) AS keyword FROM part) WHERE starts_with(keyword, 'r') ORDER BY length(keyword), keyword LIMIT {LIMIT}",
+    "trie_ordered": f"SELECT DISTINCT keyword FROM (SELECT unnest({_WORDS}) AS keyword FROM part) WHERE starts_with(keyword, 'r') ORDER BY length(keyword), keyword",
     "trie_json_terms": "SELECT event_id, unnest(['k', regexp_extract(props, '([0-9]+)', 1)]) AS keyword, unnest(['k', regexp_extract(props, '([0-9]+)', 1)]) AS datum FROM events WHERE props IS NOT NULL",
     "trie_json_words": f"""WITH p AS ({_pieces('sup')}), t AS (
   SELECT k, unnest(['suppkey', 'name']) AS datum FROM p UNION ALL SELECT DISTINCT k, 'data' FROM p UNION ALL SELECT k, regexp_extract(p, '"suppkey":([0-9]+)', 1) FROM p
@@ -322,13 +351,9 @@ SELECT k, lower(datum) AS keyword, datum, count(*) AS n FROM t GROUP BY k, datum
     "match_fuzzy": "SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'smaal') OR list_min(list_transform(range(0, least(length(p_name), 6) + 1), lambda i: levenshtein(left(lower(p_name), i), 'smaal'))) <= 1",
     "match_objects": f"SELECT k, s AS start_position, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_extract(p, '\"name\":\"([^\"]*)\"', 1), '\\s+'), lambda w: starts_with(lower(w), 'bo')))), ',') AS matched FROM ({_pieces('part')}) WHERE regexp_matches(p, '\"name\":\"([^\"]* )?bo')",
     "highlight": r"SELECT p_partkey, regexp_replace(p_name, '(?i)(bo)', '<mark>\1</mark>', 'g') AS marked FROM part",
-    "tok_word_split": _token_sql(r"list_filter(string_split_regex(v, '[\s,.\-_/();:]+'), lambda w: length(w) >= 2)"),
-    "tok_whitespace": _token_sql(r"list_filter(string_split_regex(v, '\s+'), lambda w: length(w) >= 1)"),
-    "tok_ngram2": _token_sql(r"list_concat(list_filter(string_split_regex(v, '\s+'), lambda w: length(w) >= 2), list_transform(range(1, greatest(1, len(list_filter(string_split_regex(v, '\s+'), lambda w: length(w) >= 2)))), lambda i: list_filter(string_split_regex(v, '\s+'), lambda w: length(w) >= 2)[i] || ' ' || list_filter(string_split_regex(v, '\s+'), lambda w: length(w) >= 2)[i + 1]))"),
-    "tok_char3": _token_sql(r"list_transform(range(1, greatest(1, length(regexp_replace(v, '\s+', '', 'g')) - 1)), lambda i: substr(lower(regexp_replace(v, '\s+', '', 'g')), i, 3))"),
     "validate_report": "SELECT event_id, true AS is_valid_utf8, cast(NULL AS VARCHAR) AS utf8_error, event_id % 5 > 2 AS is_valid_structure, cast(CASE event_id % 5 WHEN 0 THEN strlen(props) + 1 WHEN 1 THEN strlen(props) - 1 WHEN 2 THEN 1 ELSE strlen(props) END AS BIGINT) AS bytes_checked FROM events",
     "validate_bytes": "SELECT n_nationkey, true AS safe, true AS at_end, false AS past_end, false AS before FROM nation",
-    "table_sort": f"SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey DESC LIMIT {LIMIT}",
+    "table_sort": "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey DESC",
     "table_filter": "SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE (s_suppkey <> 0 AND contains(cast(s_suppkey AS VARCHAR), '07')) OR contains(lower(s_name), '07') OR (s_nationkey <> 0 AND contains(cast(s_nationkey AS VARCHAR), '07'))",
     "upload_cap": f"SELECT count(*) AS n, cast(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE strlen(text) <= {OVERSIZE}",
     "missing_files": "SELECT * FROM (VALUES ('region.parquet', false, cast(NULL AS BOOLEAN)), ('no_such_file.json', true, true)) v(name, missing, reported)",
@@ -337,4 +362,4 @@ SELECT k, lower(datum) AS keyword, datum, count(*) AS n FROM t GROUP BY k, datum
     "generate_counts": "SELECT * FROM (VALUES ('products', cast(50 AS BIGINT)), ('reviews', 75), ('orders', 40), ('m_shows', 50), ('m_reviews', 100)) v(collection, n_records)",
     "index_stream": f"SELECT keyword, count(*) AS n FROM ({_part_words(2)}) GROUP BY keyword",
     "chunked_scan": f"SELECT 'items' AS collection, count(*) AS n, cast(sum(n) AS BIGINT) AS bytes, cast(0 AS BIGINT) AS errors FROM ({_pieces('part')})",
-}
+} | _TOKEN_SQL

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangelake.functions.json import json_valid
+
 DOCUMENT = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -22,6 +25,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is, if it is there and the session still runs."""
+    with contextlib.suppress(Exception):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def read_or_report(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """path, content and error: paths that aren't there are rows with an error in place of content."""
     there = [p for p in paths if exists(spark, p)]
@@ -30,10 +40,11 @@ def read_or_report(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return read_documents(spark, there).withColumn("error", F.lit(None).cast("string")).unionByName(missing) if there else missing
 
 
-def from_text(df: DataFrame, column: str, *, most_bytes: int | None = None, content: str = "content") -> DataFrame:
-    """df with a text column's bytes as content, and without texts over a size, if one is given."""
+def from_text(df: DataFrame, column: str, *, most_bytes: int | None = None, content: str = "content", check: bool = False) -> DataFrame:
+    """df with a text column's bytes as content, and without texts over a size, if one is given. check adds error, for texts that aren't JSON."""
     out = df.withColumn(content, F.col(column).cast("binary"))
-    return out if most_bytes is None else out.filter(F.octet_length(content) <= most_bytes)
+    out = out if most_bytes is None else out.filter(F.octet_length(content) <= most_bytes)
+    return out.withColumn("error", F.when(~json_valid(content), F.lit("Invalid JSON"))) if check else out
 
 
 def write_documents(df: DataFrame, path: str, *, content: str = "content", mode: str = "error") -> None:

@@ -1,7 +1,9 @@
 import pytest
 from oracle import DATA, agree
 
-from rangelake.plans.queries import KINDS, ORACLE_SQL, QUERIES, docs
+from __spark_entry__ import JSON_QUERIES as QUERIES
+from __spark_entry__ import JSON_SQL as ORACLE_SQL
+from rangelake.plans.queries import KINDS, docs
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
