@@ -23,15 +23,18 @@ BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 def ready(spark: SparkSession) -> None:
     """Let Python workers import this package, bound their batches, and make sure that checkpoint() has a folder.
 
-    The folder is the one named in spark.checkpoint.dir; a temporary one is set only where that is
-    unset, which is so in local tests. Batches to Python workers get BATCH_ROWS rows, unless the
-    session has a number of its own: whole texts can be long.
+    The folder is the one named in spark.checkpoint.dir; where that is unset, a local session gets a
+    temporary one and any other raises. Batches to Python workers get BATCH_ROWS rows, unless the
+    session has set a number of its own: whole texts can be long.
     """
     sc = spark.sparkContext
-    if spark.conf.get(BATCH_CONF) == "10000":
+    if not spark._jsparkSession.conf().contains(BATCH_CONF):
         spark.conf.set(BATCH_CONF, BATCH_ROWS)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rangelake-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="rangelake-"))
     if not getattr(sc, "_rangelake_shipped", False):
         root = Path(__file__).resolve().parents[1]
         with tempfile.NamedTemporaryFile(prefix="rangelake-", suffix=".zip", delete=False) as f:
@@ -42,6 +45,14 @@ def ready(spark: SparkSession) -> None:
         sc._rangelake_shipped = True
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place under the checkpoint folder, which all executors share; what is written there goes when the session ends."""
+    ready(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it is, if it is there and the session still runs."""
     with contextlib.suppress(Exception):
@@ -57,13 +68,9 @@ def cut(df: DataFrame) -> DataFrame:
     optimizer has inferred about the columns, which in iterated joins grows until planning stands
     still. The files go when the session ends.
     """
-    spark = df.sparkSession
-    ready(spark)
-    sc = spark.sparkContext
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

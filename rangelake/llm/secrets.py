@@ -1,18 +1,20 @@
-"""Secret scans over a blob ledger, with DataFrame functions only.
+"""Secret scans over a stored blob ledger, with DataFrame functions only.
 
-Every version of every document is addressed by its content's SHA-256. The ledger says which (blob,
-rule version) pairs have been scanned and what was found; only pairs that it lacks are scanned, each
-blob once however many paths hold it, and findings are joined back to all paths. Texts that occur once
-and are new are scanned where they are read. Which those are reaches the scan as a Bloom filter of
+Every version of every document is addressed by its content's SHA-256. The ledger, a folder of Parquet
+by rule version, says which (blob, rule version) pairs have been scanned and what was found; an update
+scans only pairs that it lacks, each blob once however many paths hold it, and appends them, findings or
+none. Findings are joined back to all paths. Texts that occur once and are new are scanned where they
+are read. Which those are reaches the scan as a Bloom filter of
 fixed size over all other blobs; what passes it is settled exactly, and only those texts are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangelake.llm.common import key_filter, may_have, ready
+from rangelake.llm.common import folder, key_filter, may_have, ready
+from rangelake.sources.files import exists
 
 RULE_VERSION = "3"
 #: Kind, what a span matches, and a group of it with its least length (0: the span).
@@ -91,27 +93,61 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rule_version:
     return blobs, new
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Per row of docs: doc_id, blob, spans array<struct<kind, at, start, end>>, from ledger or a new scan.
+def read_ledger(spark: SparkSession, path: str, rule_version: str | None = None) -> DataFrame | None:
+    """The rows of the ledger at path, each pair once, or those of one rule version; None if there is no ledger yet.
 
-    Null texts count as empty and have no spans. Repeated rows and null doc_ids get their text's spans;
-    an empty table gives no rows; other columns aren't read.
+    A pair is there twice only if two updates ran at the same time; their spans are the same.
     """
-    blobs, new = scan_unseen(docs, ledger, rule_version)
-    found = new if ledger is None else new.union(ledger.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "rule_version", "spans"))
-    found = found.filter(F.size("spans") > 0).select("blob", "spans")
+    if not exists(spark, f"{path}/*"):
+        return None
+    rows = spark.read.schema(ledger_schema()).parquet(path)
+    rows = rows if rule_version is None else rows.filter(F.col("rule_version") == rule_version)
+    return rows.dropDuplicates(["blob", "rule_version"])
+
+
+def update_ledger(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scans the pairs of docs that the ledger at path lacks and appends them; the narrow table (doc_id, blob) of docs.
+
+    docs may hold any number of versions of a document, a row each. An update that breaks off appends
+    nothing and can run again.
+    """
+    blobs, new = scan_unseen(docs, read_ledger(docs.sparkSession, path, rule_version), rule_version)
+    new.write.mode("append").partitionBy("rule_version").parquet(path)
+    return blobs
+
+
+def compact_ledger(spark: SparkSession, path: str, to: str) -> None:
+    """Writes the ledger at path to a new folder, each pair once, in fewer files sorted by blob."""
+    rows = read_ledger(spark, path)
+    rows.repartitionByRange("rule_version", "blob").sortWithinPartitions("blob").write.partitionBy("rule_version").parquet(to)
+
+
+def _found(docs: DataFrame, ledger: str | None, rule_version: str) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, blob) of docs, (blob, spans) of the ledger where there are spans), after an update of the ledger, or of one of its own."""
+    path = ledger or folder(docs.sparkSession, "ledger")
+    blobs = update_ledger(docs, path, rule_version)
+    rows = docs.sparkSession.read.schema(ledger_schema()).parquet(path)
+    return blobs, rows.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
+
+
+def scan_secrets(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Per row of docs: doc_id, blob, spans array<struct<kind, at, start, end>>, by the ledger at a path, which is updated.
+
+    Without a path the ledger lives as long as the session. Null texts count as empty and have no
+    spans. Repeated rows and null doc_ids get their text's spans; an empty table gives no rows; other
+    columns aren't read.
+    """
+    blobs, found = _found(docs, ledger, rule_version)
     out = blobs.join(found, "blob", "left")
     return out.select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION, mark: str = "[SECRET]") -> DataFrame:
     """docs with every stretch of text that a span covers replaced by mark; n_chars, if there is one, follows the new text.
 
-    Texts without spans and null texts stay as they are, and so do all other columns.
+    Texts without spans and null texts stay as they are, and so do all other columns. The ledger is as in scan_secrets().
     """
-    _, new = scan_unseen(docs, ledger, rule_version)
-    found = new if ledger is None else new.union(ledger.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "rule_version", "spans"))
-    found = found.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    found = _found(docs, ledger, rule_version)[1].select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     blob = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     # only texts with findings are joined; a Bloom filter of their blobs lets the rest stay in place
     marked = may_have(docs.withColumn("_blob", blob).withColumn("_key", F.xxhash64("_blob")), key_filter(found.select(F.xxhash64("_blob").alias("_key")), "_key"), "_key", "_hit")
