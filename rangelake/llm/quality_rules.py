@@ -9,8 +9,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rangelake.llm.common import ready
 from rangelake.llm.docstats import BASE, FEATURES, describe_all
@@ -107,19 +108,19 @@ def quality_rules(docs: DataFrame, model: Trees, *, verdict: float = VERDICT, le
 
     Null and empty texts have no words, so base_failed holds for them. Rows are independent: repeated
     rows, null doc_ids and an empty table need no rule. Other columns pass through, columns of docs
-    with the names added here are replaced. Nothing is shuffled.
+    with the names added here are replaced. Nothing is shuffled; only text goes to Python, and only
+    statistics come back.
     """
     ready(docs.sparkSession)
     added = [*BASE, "base_failed", "score", "kept"]
-    docs = docs.drop(*added)
-
-    def run(batches):
-        for d in batches:
-            base, x = describe_all(d["text"])
-            failed = (base[:, 0] < least_words) | (100 * base[:, 4] > most_repeats * base[:, 0])
-            score = model.score(x)
-            more = pd.DataFrame(dict(zip(BASE, base.T)) | {"base_failed": failed, "score": score, "kept": ~failed & (score >= verdict)}, index=d.index)
-            yield pd.concat([d, more], axis=1)
-
-    old = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, old + "".join(f", {c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean")
+    kinds = [*["long"] * len(BASE), "boolean", "double", "boolean"]
+
+    @F.arrow_udf(f"struct<{', '.join(f'{n}: {k}' for n, k in zip(added, kinds))}>")
+    def judge(texts: pa.Array) -> pa.Array:
+        base, x = describe_all(t.as_py() for t in texts)
+        failed = (base[:, 0] < least_words) | (100 * base[:, 4] > most_repeats * base[:, 0])
+        score = model.score(x)
+        return pa.StructArray.from_arrays([*map(pa.array, base.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= verdict))], added)
+
+    # a generator, so that a filter on what it gives isn't pushed below it and Python isn't run twice
+    return docs.drop(*added).select("*", F.inline_outer(F.array(judge("text"))))

@@ -17,25 +17,28 @@ MOST_LABELS = 20_000
 def labelled_features(docs: DataFrame, labels: DataFrame, column: str, most: int = MOST_LABELS) -> tuple[np.ndarray, np.ndarray]:
     """(features, labels) of at most `most` labelled documents, in a fixed order.
 
-    Rows with a null doc_id or label don't count; of several labels of one doc_id the largest does.
-    The labels are bounded by most, so they can be broadcast, and so is what comes back.
+    Rows with a null doc_id or label don't count. A doc_id is one document: of several labels the largest
+    counts, of several texts the one whose statistics are largest. The labels are bounded by most, so
+    they can be broadcast, and so is what comes back, however often rows repeat.
     """
     ready(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    names = ", ".join(f"f{k} double" for k in range(len(FEATURES)))
+    names = [f"f{k}" for k in range(len(FEATURES))]
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            _, x = describe_all(b["text"])
-            out = pd.DataFrame(x, columns=[f"f{k}" for k in range(len(FEATURES))])
-            out.insert(0, "y", b["y"].to_numpy())
+            out = pd.DataFrame(describe_all(b["text"])[1], columns=names)
+            out.insert(0, "doc_id", b["doc_id"].array)
+            out.insert(1, "y", b["y"].to_numpy())
             yield out
 
-    got = rows.select("text", "y").mapInPandas(run, f"y double, {names}").toPandas()
-    got = got.sort_values(list(got.columns), kind="stable").head(most)
-    return got.iloc[:, 1:].to_numpy(np.float64).reshape(-1, len(FEATURES)), got["y"].to_numpy(np.float64)
+    got = rows.mapInPandas(run, f"doc_id {kind}, y double, " + ", ".join(f"{k} double" for k in names))
+    got = got.groupBy("doc_id").agg(F.max(F.struct(*names, "y")).alias("d")).select("d.*").toPandas()
+    got = got.sort_values(["y", *names], kind="stable")
+    return got[names].to_numpy(np.float64).reshape(-1, len(FEATURES)), got["y"].to_numpy(np.float64)
 
 
 def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
