@@ -23,8 +23,8 @@ from rangelake.llm.common import ready
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-#: Letters of a word that training takes together, and additive smoothing of expected counts.
-STRETCH, SMOOTH, ROUNDS = 48, 0.1, 2
+#: Additive smoothing of expected counts, and rounds of training.
+SMOOTH, ROUNDS = 0.1, 2
 #: Symbols after which the sums over segmentations are rescaled.
 RESCALE = 16
 #: Words that a worker keeps scores or counts of at a time.
@@ -207,10 +207,8 @@ def fit_unigrams(docs: DataFrame, path: str, *, rounds: int = ROUNDS, smooth: fl
             for b in batches:
                 for lang, w, n in zip(b["lang"], b["word"], b["n"]):
                     marked, weight = waiting[lang]
-                    w = MARK + w
-                    for k in range(0, len(w), STRETCH):
-                        marked.append(w[k : k + STRETCH])
-                        weight.append(n)
+                    marked.append(MARK + w)
+                    weight.append(n)
                 for lang in [x for x, (marked, _) in waiting.items() if len(marked) >= TOGETHER]:
                     work(lang)
             for lang in list(waiting):
