@@ -1,125 +1,143 @@
-"""Substring dedup by line hashing.
-
-Units are whole lines, and the sentences of lines that have more than one, so that a passage that
-repeats inside longer lines is found too. A unit is normalised (A-Z lower-cased, white space between
-words one space) and hashed; digests are grouped over the whole table, the occurrence ranked first, by
-doc_id and place, stays, and all others are spans to remove, with their places in the original text.
-
-Lines and sentences under the least number of words are units of no level of these. The level of
-passages holds them: runs of consecutive sentences, across lines, each just long enough.
+"""Substring dedup by hashing of lines and sentences.
+
+A text is cut at the ends of lines and sentences. Units are runs of consecutive pieces, across lines, that
+have just enough words: from each piece on, and up to each piece, the shortest such run. So short lines
+and sentences are joined to their neighbours, a long one is a unit by itself, and what repeats, piece by
+piece, is covered by units that lie in it, whatever stands around it. A unit is normalised (A-Z
+lower-cased, white space between words one space) and hashed; digests are grouped over the whole table,
+the occurrence ranked first, by doc_id and place, stays, and all others are spans to remove, with their
+places in the original text.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.llm.common import ready
+from rangelake.llm.common import cut, key_filter, may_have, ready
+from rangelake.llm.minhash import STEP, mix
 
-#: Shorter units are left alone: a few common words may well meet again by chance.
-LEAST_WORDS = 8
-LEVELS = ("line", "sentence", "passage")
+#: Words that a unit has at least: fewer may well meet again by chance, or as a common line of many pages.
+LEAST_WORDS = 20
 #: Tiles a line: up to the end of a run of stops, or up to the line's end.
 SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+#: Odd bases of the two halves of a digest, and how many words a worker knows the hashes of.
+BASES, WORDS_KEPT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 200_000
+_powers: dict[int, np.ndarray] = {}
+_words: dict[bytes, int] = {}
 
 
-def units(text: str, least: int):
-    """(level, start, end, words, digest) of each unit of text with at least so many words; code points, end exclusive."""
-    at = 0
-    for line in text.split("\n"):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= least:
-            yield 0, at, at + len(line), len(words), xxhash.xxh3_128_digest(b"0" + b" ".join(words))
-            tiles = list(SENTENCE.finditer(line))
-            for m in tiles if len(tiles) > 1 else ():
-                own = m[0].encode("utf-8", "surrogatepass").lower().split()
-                if len(own) >= least:
-                    yield 1, at + m.start(), at + m.end(), len(own), xxhash.xxh3_128_digest(b"1" + b" ".join(own))
-        at += len(line) + 1
-
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** (0 .. n - 1), modulo 2 ** 64."""
+    held = _powers.get(base)
+    if held is None or len(held) < n:
+        with np.errstate(over="ignore"):
+            held = _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 4096) - 1, base, np.uint64)]), dtype=np.uint64)
+    return held[:n]
 
-def passages(text: str, least: int):
-    """Like units(): runs of consecutive sentences, across lines and blank ones, that join those of fewer words to their neighbours.
 
-    From each short sentence on and up to each short sentence, the shortest run with at least so many
-    words; a line's end ends a sentence. What repeats, sentence by sentence, with so many words in all
-    is covered by runs that lie in it and by sentences that are units themselves, whatever stands
-    around it. A text with fewer words in all has no run.
-    """
-    tiles = []
+def pieces(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(start, end and number of words of each piece with a word, hashes of all words); code points, end exclusive."""
+    starts, ends, counts, hashes = [], [], [], []
     at = 0
+    if len(_words) > WORDS_KEPT:
+        _words.clear()
     for line in text.split("\n"):
         for m in SENTENCE.finditer(line):
             own = m[0].encode("utf-8", "surrogatepass").lower().split()
             if own:
-                tiles.append((at + m.start(), at + m.end(), own))
+                starts.append(at + m.start())
+                ends.append(at + m.end())
+                counts.append(len(own))
+                for w in own:
+                    h = _words.get(w)
+                    if h is None:
+                        h = _words[w] = xxhash.xxh3_64_intdigest(w)
+                    hashes.append(h)
         at += len(line) + 1
-    runs = set()
-    first, last, inside = 0, -1, 0  # words of tiles first..last
-    for k, t in enumerate(tiles):  # the shortest run from each tile on
-        while last < len(tiles) - 1 and inside < least:
-            last += 1
-            inside += len(tiles[last][2])
-        if inside >= least and len(t[2]) < least:
-            runs.add((k, last))
-        inside -= len(t[2])
-    inside = 0
-    for k, t in enumerate(tiles):  # the shortest run up to each tile
-        inside += len(t[2])
-        while inside - len(tiles[first][2]) >= least:
-            inside -= len(tiles[first][2])
-            first += 1
-        if inside >= least and len(t[2]) < least:
-            runs.add((first, k))
-    for a, b in sorted(runs):
-        words = [w for t in tiles[a : b + 1] for w in t[2]]
-        yield 2, tiles[a][0], tiles[b][1], len(words), xxhash.xxh3_128_digest(b"2" + b" ".join(words))
-
-
-def repeated_units(docs: DataFrame, *, least_words: int = LEAST_WORDS, short_runs: bool = False) -> DataFrame:
-    """One row per unit to remove: doc_id, level, start, end, n_words, keep_doc_id, keep_start.
-
-    Null and empty texts have no units. Null doc_ids rank last. Rows that repeat one another, doc_id
-    and text, are one occurrence: what the first of them keeps, all keep. An empty table gives no rows;
-    other columns aren't read. Only digests and places are shuffled; a unit that a third of all
-    documents share is one row a task in the grouping, and its occurrences meet their group in a join
-    whose skewed partitions Spark splits. A line to remove may hold sentences to remove.
-    short_runs adds the level of passages; these may overlap, and one that overlaps the occurrence of
-    it that stays, in the same document, isn't removed.
+    return starts, ends, counts, hashes
+
+
+def units(text: str, least: int) -> tuple[np.ndarray, ...] | None:
+    """(start, end, words, two halves of a digest) of each unit of a text; None if the text has fewer words in all.
+
+    A run's digest comes from sums of its words' hashes times powers of a base, taken from two running sums.
+    """
+    starts, ends, counts, hashes = pieces(text)
+    if len(hashes) < least:
+        return None
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    last = np.searchsorted(upto, upto[:-1] + least, "left") - 1  # of the shortest run from each piece on
+    first = np.searchsorted(upto, upto[1:] - least, "right") - 1  # of the shortest run up to each piece
+    k = np.arange(len(counts))
+    runs = np.unique(np.concatenate([np.stack([k, last], 1)[last < len(counts)], np.stack([first, k], 1)[first >= 0]]), axis=0)
+    a, b = runs[:, 0], runs[:, 1]
+    low, high = upto[a], upto[b + 1]
+    h = np.array(hashes, np.uint64)
+    halves = []
+    with np.errstate(over="ignore"):
+        for base in BASES:
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, len(h)), dtype=np.uint64)])
+            back = powers(pow(base, -1, 1 << 64), len(h) + 1)[low]
+            halves.append(mix((total[high] - total[low]) * back + (high - low).astype(np.uint64) * STEP).view(np.int64))
+            h = mix(h)
+    return np.array(starts)[a], np.array(ends)[b], high - low, *halves
+
+
+def repeated_units(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per unit to remove: doc_id, start, end, n_words, keep_doc_id, keep_start.
+
+    Null texts, and texts with fewer words in all, have no units. Null doc_ids rank last. Rows that
+    repeat one another, doc_id and text, are one occurrence: what the first of them keeps, all keep. An
+    empty table gives no rows; other columns aren't read. Units may overlap; one that overlaps the
+    occurrence of it that stays, in the same document, isn't removed. Only digests and places are
+    shuffled; a unit that a third of all documents share is one row a task in the grouping, and its
+    occurrences meet their group in a join whose skewed partitions Spark splits. Occurrences of digests
+    that are there once don't get to that join, by a Bloom filter.
     """
     ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    kinds = (units, passages) if short_runs else (units,)
 
     def run(batches):
-        for b in batches:
-            out = [(d, *u[:4], int.from_bytes(u[4][:8], "little", signed=True), int.from_bytes(u[4][8:], "little", signed=True)) for d, t in zip(b["doc_id"], b["text"]) if t for found in kinds for u in found(t, least_words)]
-            got = pd.DataFrame(out, columns=["doc_id", "level", "start", "end", "n_words", "hi", "lo"])
-            if b["doc_id"].isna().any():
-                got["doc_id"] = got["doc_id"].astype(object).where(got["doc_id"].notna(), None)
-            yield got
-
-    every = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, level int, start int, end int, n_words int, hi long, lo long").checkpoint()
+        for batch in batches:
+            ids, found = [], []
+            for k, t in enumerate(batch["text"]):
+                if t and (u := units(t, least_words)):
+                    ids.append(np.full(len(u[0]), k))
+                    found.append(u)
+            if not found:
+                continue
+            columns = [np.concatenate(c) for c in zip(*found)]
+            out = pd.DataFrame(dict(zip(("start", "end", "n_words", "hi", "lo"), columns)))
+            doc_id = batch["doc_id"].iloc[np.concatenate(ids)].reset_index(drop=True)
+            out.insert(0, "doc_id", doc_id.astype(object).where(doc_id.notna(), None) if doc_id.isna().any() else doc_id)
+            yield out
+
+    every = cut(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start int, end int, n_words int, hi long, lo long"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end")
     # grouped by one column more than is joined on, so that the join has exchanges that can be split
-    groups = every.groupBy("hi", "lo", "level").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), F.col("first.end").alias("keep_end"))
-    again = every.join(groups, ["hi", "lo"]).filter(~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("start") < F.when(F.col("level") == 2, F.col("keep_end")).otherwise(F.col("keep_start") + 1)) & (F.col("start") >= F.col("keep_start"))))
-    level = F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1)
-    return again.select("doc_id", level.alias("level"), "start", "end", "n_words", "keep_doc_id", "keep_start")
+    groups = cut(
+        every.groupBy("hi", "lo", "n_words").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        .select("hi", "lo", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.start").alias("keep_start"), F.col("first.end").alias("keep_end"))
+    )
+    again = may_have(every, key_filter(groups, "hi"), "hi", "_hit").filter("_hit").drop("_hit").join(groups, ["hi", "lo"])
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("start") >= F.col("keep_start")) & (F.col("start") < F.col("keep_end"))
+    return again.filter(~stays).select("doc_id", "start", "end", "n_words", "keep_doc_id", "keep_start")
 
 
-def without_repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS, short_runs: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the repeated units cut out of text, and n_chars, if there is one, following it.
 
     Documents without such units stay as they are. Rows with one doc_id are taken as copies of one
     document; a null doc_id's text stays whole.
     """
-    cut = repeated_units(docs, least_words=least_words, short_runs=short_runs).filter(F.col("doc_id").isNotNull())
-    spans = cut.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    again = repeated_units(docs, least_words=least_words).filter(F.col("doc_id").isNotNull())
+    spans = again.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     step = lambda a, s: F.struct(
         F.greatest(a["pos"], s["end"]).alias("pos"), F.when(s["start"] > a["pos"], F.concat(a["text"], F.substring("text", a["pos"] + 1, s["start"] - a["pos"]))).otherwise(a["text"]).alias("text")
     )

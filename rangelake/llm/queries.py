@@ -31,7 +31,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crc(mod: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+    """crc32 of doc_id as text; a null doc_id counts as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +62,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6_line_dedup's rows, and those of runs of short lines and sentences, which its SQL doesn't have."""
-    return repeated_units(table(spark, sf_dir, "documents"), short_runs=True)
-
-
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -76,7 +72,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_quality_gam(docs.filter(_crc(4) != 2), table(spark, sf_dir, "labels"))
+    model = fit_quality_gam(docs.filter(_crc(4) != 2), table(spark, sf_dir, "labels").filter(_crc(4) != 2))
     return quality_scores(docs, model).select("doc_id", (_crc(4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -84,7 +80,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_quality_rules, op5_secret_scan, op6_line_dedup, op6_passage_dedup, op7_minhash_dedup, op8_token_counts, op9_quality_gam, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_language_id, op4_quality_rules, op5_secret_scan, op6_line_dedup, op7_minhash_dedup, op8_token_counts, op9_quality_gam, op10_packing)}
 
 
 def _op5_sql() -> str:
@@ -116,12 +112,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
     "op6_line_dedup": rf"""
 WITH d AS (SELECT DISTINCT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, ls[i] AS t, cast(coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS b FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-s AS (SELECT doc_id, b AS lb, t AS lt, regexp_extract_all(t, '[^.!?]*[.!?]+|[^.!?]+') AS ss FROM l),
-u AS (SELECT doc_id, 'line' AS level, b, t FROM l UNION ALL
-  SELECT doc_id, 'sentence', cast(lb + coalesce(list_sum(list_transform(ss[1:i-1], lambda x: length(x))), 0) AS BIGINT), ss[i] FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s WHERE len(ss) > 1 AND len(regexp_extract_all(lt, '[^\x20\x09-\x0D]+')) >= {LEAST_WORDS})),
-w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM u),
-n AS (SELECT doc_id, level, b, length(t) AS len, len(ws) AS n_words, translate(array_to_string(ws, ' '), '{UPPER}', '{LOWER}') AS norm FROM w WHERE len(ws) >= {LEAST_WORDS}),
-r AS (SELECT *, first(doc_id) OVER p AS keep_doc_id, first(b) OVER p AS keep_start FROM n WINDOW p AS (PARTITION BY level, norm ORDER BY doc_id, b))
-SELECT doc_id, level, cast(b AS INT) AS start, cast(b + len AS INT) AS "end", cast(n_words AS INT) AS n_words, keep_doc_id, cast(keep_start AS INT) AS keep_start
-FROM r WHERE doc_id <> keep_doc_id OR b <> keep_start""",
+s AS (SELECT doc_id, b AS lb, regexp_extract_all(t, '[^.!?]*[.!?]+|[^.!?]+') AS ss FROM l),
+t AS (SELECT doc_id, cast(lb + coalesce(list_sum(list_transform(ss[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS b, ss[i] AS t FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s)),
+w AS (SELECT doc_id, b, b + length(t) AS e, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n, translate(array_to_string(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), ' '), '{UPPER}', '{LOWER}') AS norm FROM t),
+c AS (SELECT *, row_number() OVER p AS k, sum(n) OVER p AS c1, sum(n) OVER p - n AS c0 FROM w WHERE n > 0 WINDOW p AS (PARTITION BY doc_id ORDER BY b)),
+m AS (SELECT x.doc_id, x.k AS a, y.k AS z FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.k >= x.k AND y.k < x.k + {LEAST_WORDS} AND y.c1 - x.c0 >= {LEAST_WORDS}),
+r AS (SELECT doc_id, a, min(z) AS z FROM m GROUP BY doc_id, a UNION SELECT doc_id, max(a), z FROM m GROUP BY doc_id, z),
+u AS (SELECT r.doc_id, min(b) AS b, max(e) AS e, sum(n) AS n_words, string_agg(norm, ' ' ORDER BY k) AS norm FROM r JOIN c ON r.doc_id = c.doc_id AND c.k BETWEEN r.a AND r.z GROUP BY r.doc_id, r.a, r.z),
+f AS (SELECT *, first(doc_id) OVER p AS keep_doc_id, first(b) OVER p AS keep_start, first(e) OVER p AS keep_end FROM u WINDOW p AS (PARTITION BY norm ORDER BY doc_id, b, e))
+SELECT doc_id, cast(b AS INT) AS start, cast(e AS INT) AS "end", cast(n_words AS INT) AS n_words, keep_doc_id, cast(keep_start AS INT) AS keep_start
+FROM f WHERE NOT (doc_id = keep_doc_id AND b >= keep_start AND b < keep_end)""",
+    "op7_minhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (sh) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(doc_id, comp) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.comp = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(comp) AS component_id FROM r GROUP BY doc_id) USING (doc_id)""",
 }

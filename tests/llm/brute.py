@@ -83,22 +83,27 @@ def base_spans(t):
 
 
 def units(t, least):
-    at = 0
+    """(start, end, normalised text) of the shortest runs of sentences with so many words, from each and up to each."""
+    tiles, at = [], 0
     for line in t.split("\n"):
-        if len(words(line)) >= least:
-            yield "line", at, at + len(line), " ".join(words(lower(line)))
-            tiles = list(re.finditer(r"[^.!?]*[.!?]+|[^.!?]+", line))
-            for m in tiles if len(tiles) > 1 else []:
-                if len(words(m[0])) >= least:
-                    yield "sentence", at + m.start(), at + m.end(), " ".join(words(lower(m[0])))
+        for m in re.finditer(r"[^.!?]*[.!?]+|[^.!?]+", line):
+            if words(m[0]):
+                tiles.append((at + m.start(), at + m.end(), words(lower(m[0]))))
         at += len(line) + 1
+    size = lambda a, z: sum(len(w) for *_, w in tiles[a : z + 1])
+    runs = set()
+    for k in range(len(tiles)):
+        runs |= {(k, z) for z in [next((z for z in range(k, len(tiles)) if size(k, z) >= least), None)] if z is not None}
+        runs |= {(a, k) for a in [next((a for a in range(k, -1, -1) if size(a, k) >= least), None)] if a is not None}
+    for a, z in sorted(runs):
+        yield tiles[a][0], tiles[z][1], " ".join(x for *_, w in tiles[a : z + 1] for x in w)
 
 
 def repeats(rows, least):
     first, out = {}, []
-    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        for level, s, e, norm in units(t or "", least):
-            keep = first.setdefault((level, norm), (i, s))
-            if keep != (i, s):
-                out.append((i, level, s, e, *keep))
+    found = [(i is None, i or 0, *u) for i, t in set(rows) for u in units(t or "", least)]
+    for no_id, i, s, e, norm in sorted(found):
+        keep = first.setdefault(norm, (no_id, i, s, e))
+        if not (keep[:2] == (no_id, i) and keep[2] <= s < keep[3]):
+            out.append((None if no_id else i, s, e, None if keep[0] else keep[1], keep[2]))
     return out

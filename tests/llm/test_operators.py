@@ -118,40 +118,38 @@ def test_blocks_count_shared_hashes():
 # --- line dedup -------------------------------------------------------------------------------
 
 
-def test_repeated_units(corpus, odd, nothing):
+@pytest.mark.parametrize("least", [8, 20])
+def test_repeated_units(corpus, odd, nothing, least):
     for df in (corpus, odd):
-        got = repeated_units(df).select("doc_id", "level", "start", "end", "keep_doc_id", "keep_start").distinct().collect()
-        same(got, brute.repeats(rows_of(df), 8))
-    assert repeated_units(nothing).count() == 0
-    before, after = dict(rows_of(corpus)), dict(rows_of(without_repeats(corpus)))
+        got = repeated_units(df, least_words=least).select("doc_id", "start", "end", "keep_doc_id", "keep_start").distinct().collect()
+        same(got, brute.repeats(rows_of(df), least))
+    assert repeated_units(nothing, least_words=least).count() == 0
+    before, after = dict(rows_of(corpus)), dict(rows_of(without_repeats(corpus, least_words=least)))
     cuts = defaultdict(set)
-    for i, _, s, e, *_ in brute.repeats(rows_of(corpus), 8):
+    for i, s, e, *_ in brute.repeats(rows_of(corpus), least):
         cuts[i].update(range(s, e))
     assert after == {i: "".join(c for k, c in enumerate(t) if k not in cuts[i]) for i, t in before.items()}
 
 
-def test_runs_of_short_lines_and_sentences(spark, corpus, odd, nothing):
+def test_passages_of_any_layout_are_removed_whole(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
     make = lambda n: " ".join(word() for _ in range(n))
     bits = lambda: [make(rng.choice([1, 2, 3, 5, 7, 12])) for _ in range(25)]
-    repeat = {"lines": "\n".join(bits()), "blank": "\n\n".join(bits()), "sentences": ". ".join(bits()) + ".", "one": make(2) + ". " + make(1) + "! " + make(5) + "."}
+    repeat = {"lines": "\n".join(bits()), "blank": "\n\n".join(bits()), "sentences": ". ".join(bits()) + ".", "few": make(12) + ". " + make(1) + "! " + make(8) + "."}
     texts = []
     for k, t in repeat.items():
         for _ in range(3):
             texts.append((k, "\n".join(make(rng.randint(1, 6)) for _ in range(4)) + "\n", t, "\n" + "\n".join(make(rng.randint(1, 9)) for _ in range(4))))
-    docs = spark.createDataFrame([(i, a + t + b) for i, (_, a, t, b) in enumerate(texts)], "doc_id long, text string")
-    out = dict(rows_of(without_repeats(docs, short_runs=True)))
+    common = make(12)  # a line that all share is too short to be taken for a copy
+    docs = spark.createDataFrame([(i, a + t + b + "\n" + common) for i, (_, a, t, b) in enumerate(texts)], "doc_id long, text string")
+    out = dict(rows_of(without_repeats(docs)))
     for i, (_, a, t, b) in enumerate(texts):
-        assert out[i] == a + t + b if i % 3 == 0 else not set(out[i].split()) & set(t.split()) and set(out[i].split()) == set((a + b).split())
+        kept = a + t + b if i % 3 == 0 else a + b
+        assert out[i].split() == kept.split() + common.split()
     lines = "\n".join(["one two", "three four five"] * 50)  # what stays keeps all its words
-    once = dict(rows_of(without_repeats(spark.createDataFrame([(1, lines), (2, lines)], "doc_id long, text string"), short_runs=True)))
-    assert once[1].split() == lines.split()[:10] and not once[2].split()
-    for df in (corpus, odd, docs):
-        every = repeated_units(df, short_runs=True).select("doc_id", "level", "start", "end", "keep_doc_id", "keep_start").distinct().collect()
-        same([r for r in every if r.level != "passage"], brute.repeats(rows_of(df), 8))
-        assert {r.level for r in every} <= {"line", "sentence", "passage"}
-    assert repeated_units(nothing, short_runs=True).count() == 0
+    once = dict(rows_of(without_repeats(spark.createDataFrame([(1, lines), (2, lines)], "doc_id long, text string"))))
+    assert once[1].split() == lines.split()[:20] and not once[2].split()
 
 
 # --- secrets ----------------------------------------------------------------------------------
@@ -170,14 +168,31 @@ def test_secret_scan_and_ledger(spark, odd, corpus, nothing):
         same([(r.doc_id, r.blob, ",".join(spans(r))) for r in got], [(i, brute.sha(t or ""), ",".join(brute.base_spans(t))) for i, t in rows_of(df)])
     assert {s.kind for r in secrets.scan_secrets(tricky).collect() for s in r.spans} >= {"jwt", "pem"}
     assert secrets.scan_secrets(nothing).count() == 0
-    _, ledger = secrets.scan_unseen(corpus)
-    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
-    assert ledger.count() == len({t for _, t in rows_of(corpus)})
-    assert secrets.scan_unseen(corpus, ledger)[1].count() == 0
-    assert secrets.scan_unseen(corpus, ledger, "other")[1].count() == ledger.count()
+
+
+def test_stored_ledger(spark, corpus, tmp_path):
+    tricky = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
+    at, texts = str(tmp_path / "ledger"), {t for _, t in rows_of(corpus)}
+    size = lambda: spark.read.parquet(at).count()
+    first = corpus.filter("doc_id < 100")
+    secrets.update_ledger(first, at)
+    assert size() == len({t for _, t in rows_of(first)})
+    secrets.update_ledger(corpus, at)  # a later crawl: only what is new is scanned
+    assert size() == len(texts)
+    assert secrets.scan_unseen(corpus, secrets.read_ledger(spark, at))[1].count() == 0
     more = corpus.select("doc_id", "text").union(tricky)
-    assert secrets.scan_unseen(more, ledger)[1].count() == len(TRICKY)
-    same([(r.doc_id, ",".join(spans(r))) for r in secrets.scan_secrets(more, ledger).collect()], [(i, ",".join(brute.base_spans(t))) for i, t in rows_of(more)])
+    same([(r.doc_id, ",".join(spans(r))) for r in secrets.scan_secrets(more, at).collect()], [(i, ",".join(brute.base_spans(t))) for i, t in rows_of(more)])
+    assert size() == len(texts) + len(TRICKY)
+    redacted = secrets.redact_secrets(more, at)
+    assert size() == len(texts) + len(TRICKY) and not [t for _, t in rows_of(redacted) if brute.base_spans(t)]
+    secrets.update_ledger(tricky, at, "other")  # a new rule version scans all of what it sees
+    assert size() == len(texts) + 2 * len(TRICKY)
+    assert secrets.read_ledger(spark, at, "other").count() == len(TRICKY)
+    secrets.scan_unseen(tricky)[1].write.mode("append").partitionBy("rule_version").parquet(at)  # as a second update at the same time would
+    assert secrets.read_ledger(spark, at).count() == len(texts) + 2 * len(TRICKY)
+    secrets.compact_ledger(spark, at, str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == len(texts) + 2 * len(TRICKY)
+    assert secrets.read_ledger(spark, str(tmp_path / "none")) is None
 
 
 def test_redaction(corpus, odd):
@@ -259,7 +274,8 @@ def test_quality_operators(spark, corpus, odd, nothing):
     model = quality_rules.fit_quality_rules(corpus, labels)
     for df in (corpus, odd):
         got = quality_rules.quality_rules(df, model)
-        assert got.columns[: len(df.columns)] != [] and got.count() == df.count()
+        added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+        assert got.columns == [c for c in df.columns if c not in added] + added and got.count() == df.count()
         same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.collect()], [(i, *brute.quality(t)) for i, t in rows_of(df)])
         assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and (not r.base_failed or not r.kept) for r in got.collect())
     assert quality_rules.quality_rules(nothing, model).count() == 0
@@ -351,6 +367,18 @@ def test_packing(corpus, odd, nothing, length):
     assert packing.pack_documents(nothing, BYTES).count() == 0
 
 
+def test_bins_that_stay_behind_cost_no_sequence(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, " ".join(["the"] * rng.choice([rng.randint(1, 40), rng.randint(30, 62)]))) for k in range(3000)], "doc_id long, text string").repartition(24)
+    counts = []
+    for keep in (packing.KEEP, 10**9):
+        monkeypatch.setattr(packing, "KEEP", keep)
+        monkeypatch.setattr(packing, "FAN_IN", 4)
+        got = packing.pack_documents(docs, BYTES, length=64, end_id=2)
+        counts.append(got.select("sequence_id").distinct().count())
+    assert counts[0] == counts[1]
+
+
 def test_best_fit():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(500)]
