@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rangelake.llm.common import ready, remove, table
+from rangelake.llm.common import folder, remove, table
 from rangelake.llm.exact_dedup import exact_dedup
 from rangelake.llm.minhash import drop_near_duplicates
 from rangelake.llm.packing import pack_documents
@@ -48,9 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each stage keeps is written to the folder of spark.checkpoint.dir and read again, and goes when the next stage is done."""
-    ready(spark)
-    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus_pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage.
+
+    What each stage keeps is written to the folder of spark.checkpoint.dir and read again; it goes when the
+    next stage is done, and the last one's rows go when the session ends.
+    """
+    at = folder(spark, "corpus_pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
