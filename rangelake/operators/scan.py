@@ -53,10 +53,11 @@ def targets_of(targets: Sequence[str] | None) -> dict[str, str]:
 
 def _collections_udf(targets, validate_utf8, validate_structure, max_object_size, continue_on_error):
     wanted = targets_of(targets)
+    options = {"utf8": validate_utf8, "structure": validate_structure, "max_size": max_object_size, "keep_errors": continue_on_error}
 
     @arrow_udf(RESULT)
     def run(v: pa.Array) -> pa.Array:
-        return _result([(None, []) if d is None else kernel.scan_ranges(d, wanted, utf8=validate_utf8, structure=validate_structure, max_size=max_object_size, keep_errors=continue_on_error) for d in _bytes(v)])
+        return _result([(None, []) if d is None else kernel.scan_ranges(d, wanted, **options) for d in _bytes(v)])
 
     return run
 
@@ -104,7 +105,8 @@ def scan_collections(
     df: DataFrame, content: str, targets: Sequence[str] | None = None, *, keep: Sequence[str] = (), include_content: bool = False, hashes: bool = True,
     validate_utf8: bool = True, validate_structure: bool = True, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True,
 ) -> DataFrame:
-    """A row per object in arrays named by targets (without regard to case, at any depth): keep, collection, object_type, activation, item_index, start_position, length, end_position, hash, content, error.
+    """A row per object in arrays named by targets (without regard to case, at any depth): keep, collection,
+    object_type, activation, item_index, start_position, length, end_position, hash, content, error.
 
     Offsets are bytes from the document's start. Rows with an error are kept, or dropped if
     continue_on_error is false; they take an index either way. Documents that fail as a whole give no
@@ -114,7 +116,10 @@ def scan_collections(
     return _with_bytes(found, keep, include_content, hashes, F.col("collection"), F.col("collection").alias("object_type"), F.col("activation"))
 
 
-def scan_errors(df: DataFrame, content: str, targets: Sequence[str] | None = None, *, keep: Sequence[str] = (), validate_utf8: bool = True, validate_structure: bool = False, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True) -> DataFrame:
+def scan_errors(
+    df: DataFrame, content: str, targets: Sequence[str] | None = None, *, keep: Sequence[str] = (), validate_utf8: bool = True,
+    validate_structure: bool = False, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True,
+) -> DataFrame:
     """keep and doc_error of the documents whose scan fails or ends inside an object."""
     udf = _collections_udf(targets, validate_utf8, validate_structure, max_object_size, continue_on_error)
     return _doc_errors(df, content, udf, keep)
@@ -214,15 +219,19 @@ def collection_counts(ranges: DataFrame, *keys: str) -> DataFrame:
     return ranges.groupBy(*keys, "collection").agg(F.count("*").alias("n_objects"))
 
 
-def scan_stats(df: DataFrame, content: str, targets: Sequence[str] | None = None, *, key: str, **options) -> DataFrame:
+def scan_stats(
+    df: DataFrame, content: str, targets: Sequence[str] | None = None, *, key: str, validate_utf8: bool = True,
+    validate_structure: bool = True, max_object_size: int = kernel.MAX_OBJECT_SIZE, continue_on_error: bool = True,
+) -> DataFrame:
     """Per document: key, bytes_processed, objects_found, collections_scanned and error_count, from one pass of the kernel.
 
     A failed document counts one error and no objects; null documents have no bytes.
     """
-    udf = _collections_udf(targets, options.get("validate_utf8", True), options.get("validate_structure", True), options.get("max_object_size", kernel.MAX_OBJECT_SIZE), options.get("continue_on_error", True))
-    found = df.select(key, F.coalesce(F.octet_length(binary(content)), F.lit(0)).cast("long").alias("bytes_processed"), udf(binary(content)).alias("_r"))
+    udf = _collections_udf(targets, validate_utf8, validate_structure, max_object_size, continue_on_error)
+    size = F.coalesce(F.octet_length(binary(content)), F.lit(0)).cast("long")
+    found = df.select(key, size.alias("bytes_processed"), udf(binary(content)).alias("_r"))
+    names = F.array_distinct(F.transform("_r.ranges", lambda r: r["collection"]))
     return found.select(
         key, "bytes_processed", F.size("_r.ranges").cast("long").alias("objects_found"),
-        F.size(F.array_distinct(F.transform("_r.ranges", lambda r: r["collection"]))).cast("long").alias("collections_scanned"),
-        F.col("_r.doc_error").isNotNull().cast("long").alias("error_count"),
+        F.size(names).cast("long").alias("collections_scanned"), F.col("_r.doc_error").isNotNull().cast("long").alias("error_count"),
     )

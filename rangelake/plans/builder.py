@@ -55,11 +55,15 @@ class ScanPlan:
         """Rows with an error, of the scan, of an own validator or of an extractor that raises, are left out."""
         return replace(self, continue_on_error=False)
 
+    def _options(self) -> dict:
+        return {
+            "keep": self.keep, "validate_utf8": self.validate_utf8, "validate_structure": self.validate_structure,
+            "max_object_size": self.max_object_size, "continue_on_error": self.continue_on_error,
+        }
+
     def run(self) -> DataFrame:
-        out = ops.scan_collections(
-            self.df, self.content, self.targets, keep=self.keep, include_content=self.include_content or self.extractor is not None or self.validator is not None, hashes=self.hashes,
-            validate_utf8=self.validate_utf8, validate_structure=self.validate_structure, max_object_size=self.max_object_size, continue_on_error=self.continue_on_error,
-        )
+        content = self.include_content or self.extractor is not None or self.validator is not None
+        out = ops.scan_collections(self.df, self.content, self.targets, include_content=content, hashes=self.hashes, **self._options())
         if self.validator is not None:
             out = ops.with_validation(out, self.validator)
         if self.extractor is not None:
@@ -71,7 +75,7 @@ class ScanPlan:
         return out if self.include_content else out.drop("content")
 
     def errors(self) -> DataFrame:
-        return ops.scan_errors(self.df, self.content, self.targets, keep=self.keep, validate_utf8=self.validate_utf8, validate_structure=self.validate_structure, max_object_size=self.max_object_size, continue_on_error=self.continue_on_error)
+        return ops.scan_errors(self.df, self.content, self.targets, **self._options())
 
     def build_index(self, **options) -> DataFrame:
         """Postings; the scan checks nothing, as an index takes what it can read."""
@@ -112,11 +116,18 @@ class PathPlan:
     def stop_on_error(self) -> PathPlan:
         return replace(self, continue_on_error=False)
 
+    def _options(self) -> dict:
+        return {"strict": self.strict, "validate_utf8": self.validate_utf8, "max_object_size": self.max_object_size, "continue_on_error": self.continue_on_error}
+
     def run(self) -> DataFrame:
-        return ops.extract_path(self.df, self.content, self.json_path, keep=self.keep, strict=self.strict, include_content=self.include_content, hashes=self.hashes, validate_utf8=self.validate_utf8, max_object_size=self.max_object_size, continue_on_error=self.continue_on_error)
+        options = {"keep": self.keep, "include_content": self.include_content, "hashes": self.hashes}
+        return ops.extract_path(self.df, self.content, self.json_path, **options, **self._options())
 
     def errors(self) -> DataFrame:
-        return ops.path_errors(self.df, self.content, self.json_path, keep=self.keep, strict=self.strict, validate_utf8=self.validate_utf8, max_object_size=self.max_object_size, continue_on_error=self.continue_on_error)
+        return ops.path_errors(self.df, self.content, self.json_path, keep=self.keep, **self._options())
+
+    def stats(self, key: str) -> DataFrame:
+        return ops.path_stats(self.df, self.content, self.json_path, key=key, **self._options())
 
 
 def scan(source: DataFrame | str, *, spark: SparkSession | None = None, content: str = "content", keep: tuple[str, ...] = ()) -> ScanPlan:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rangelake import kernel
 from rangelake.functions.json import binary, json_valid, slice_bytes
 from rangelake.operators.index import build_index, search
-from rangelake.operators.scan import _collections_udf, _path_udf, scan_collections
+from rangelake.operators.scan import RANGE, _collections_udf, _path_udf, scan_collections
 from rangelake.operators.terms import _json_terms
 from rangelake.operators.validate import validation_report
 
@@ -28,27 +28,48 @@ def _object(content: Column, r: Column, hashes: bool, with_content: bool) -> Col
     )
 
 
-def scan_response(df: DataFrame, content: str, targets: Sequence[str] | None = None, *, keep: Sequence[str] = (), include_content: bool = True, hashes: bool = True, max_object_size: int = kernel.MAX_OBJECT_SIZE) -> DataFrame:
+def scan_response(
+    df: DataFrame, content: str, targets: Sequence[str] | None = None, *, keep: Sequence[str] = (),
+    include_content: bool = True, hashes: bool = True, max_object_size: int = kernel.MAX_OBJECT_SIZE,
+) -> DataFrame:
     """keep, success, error, collections map<name, array of objects> and stats (bytes_processed, total_objects_found, collections_scanned)."""
     udf = _collections_udf(targets, True, True, max_object_size, True)
     got = df.select(*keep, binary(content).alias("_b"), F.explode(F.array(udf(binary(content)))).alias("_r"))
-    ranges = F.coalesce("_r.ranges", F.array().cast("array<struct<collection: string, activation: int, item_index: int, start_position: bigint, length: bigint, error: string>>"))
+    ranges = F.coalesce("_r.ranges", F.array().cast(f"array<{RANGE}>"))
     names = F.array_distinct(F.transform(ranges, lambda r: r["collection"]))
-    of = lambda name: F.transform(F.filter(ranges, lambda r: r["collection"] == name), lambda r: _object(F.col("_b"), r, hashes, include_content))
-    stats = F.struct(F.coalesce(F.octet_length("_b"), F.lit(0)).cast("long").alias("bytes_processed"), F.size(ranges).cast("long").alias("total_objects_found"), F.size(names).cast("long").alias("collections_scanned"))
-    return got.select(*keep, F.col("_r.doc_error").isNull().alias("success"), F.col("_r.doc_error").alias("error"), F.map_from_entries(F.transform(names, lambda name: F.struct(name, of(name)))).alias("collections"), stats.alias("stats"))
 
+    def objects(name: Column) -> Column:
+        return F.transform(F.filter(ranges, lambda r: r["collection"] == name), lambda r: _object(F.col("_b"), r, hashes, include_content))
 
-def path_response(df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = (), strict: bool = False, include_content: bool = True, hashes: bool = True, max_object_size: int = kernel.MAX_OBJECT_SIZE) -> DataFrame:
+    stats = F.struct(
+        F.coalesce(F.octet_length("_b"), F.lit(0)).cast("long").alias("bytes_processed"),
+        F.size(ranges).cast("long").alias("total_objects_found"), F.size(names).cast("long").alias("collections_scanned"),
+    )
+    collections = F.map_from_entries(F.transform(names, lambda name: F.struct(name, objects(name))))
+    error = F.col("_r.doc_error")
+    return got.select(*keep, error.isNull().alias("success"), error.alias("error"), collections.alias("collections"), stats.alias("stats"))
+
+
+def path_response(
+    df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = (), strict: bool = False,
+    include_content: bool = True, hashes: bool = True, max_object_size: int = kernel.MAX_OBJECT_SIZE,
+) -> DataFrame:
     """keep, success, error, json_path, objects and total_found."""
     udf = _path_udf(json_path, strict, False, max_object_size, True)
     got = df.select(*keep, binary(content).alias("_b"), F.explode(F.array(udf(binary(content)))).alias("_r"))
     objects = F.transform("_r.ranges", lambda r: _object(F.col("_b"), r, hashes, include_content))
-    return got.select(*keep, F.col("_r.doc_error").isNull().alias("success"), F.col("_r.doc_error").alias("error"), F.lit(json_path).alias("json_path"), objects.alias("objects"), F.size("_r.ranges").cast("long").alias("total_found"))
+    error = F.col("_r.doc_error")
+    return got.select(
+        *keep, error.isNull().alias("success"), error.alias("error"), F.lit(json_path).alias("json_path"),
+        objects.alias("objects"), F.size("_r.ranges").cast("long").alias("total_found"),
+    )
 
 
 def term_response(df: DataFrame, content: str, term: str | None, *, keep: Sequence[str] = ()) -> DataFrame:
-    """keep, success, error, matches (distinct data whose keyword starts with term, in the document's order) and total_indexed. A blank term matches nothing; case counts, as keywords are lower-cased and term isn't."""
+    """keep, success, error, matches (distinct data whose keyword starts with term, in the document's order) and total_indexed.
+
+    A blank term matches nothing. Case counts: keywords are lower-cased, and term isn't.
+    """
     got = df.select(*keep, F.explode(F.array(F.struct(json_valid(content).alias("ok"), _json_terms(binary(content)).alias("terms")))).alias("_r"))
     hits = F.filter("_r.terms", lambda t: F.startswith(t["keyword"], F.lit(term))) if term and term.strip() else F.slice("_r.terms", F.lit(1), F.lit(0))
     return got.select(
@@ -57,10 +78,19 @@ def term_response(df: DataFrame, content: str, term: str | None, *, keep: Sequen
     )
 
 
-def search_response(df: DataFrame, content: str, targets: Sequence[str] | None, term: str, *, keep: Sequence[str], fields: Sequence[str] = (), ngrams: bool = False, max_results: int = 10) -> DataFrame:
+def search_response(
+    df: DataFrame, content: str, targets: Sequence[str] | None, term: str, *, keep: Sequence[str],
+    fields: Sequence[str] = (), ngrams: bool = False, max_results: int = 10,
+) -> DataFrame:
     """keep, success, error, total_matches, offsets (ascending) and objects (the first max_results by position) of each document; keep has to name it."""
+    objects = "array<struct<start_position: bigint, length: bigint, item_index: int, json_content: string>>"
+
+    def answer(rows: DataFrame, success: bool, error: str | None, *found: Column) -> DataFrame:
+        kinds = {"total_matches": "bigint", "offsets": "array<bigint>", "objects": objects}
+        return rows.select(*keep, F.lit(success).alias("success"), F.lit(error).cast("string").alias("error"), *(c.cast(k).alias(n) for c, (n, k) in zip(found, kinds.items())))
+
     if not term or not term.strip():
-        return df.select(*keep, F.lit(False).alias("success"), F.lit("Search term is required.").alias("error"), F.lit(0).cast("long").alias("total_matches"), F.array().cast("array<bigint>").alias("offsets"), F.array().cast("array<struct<start_position: bigint, length: bigint, item_index: int, json_content: string>>").alias("objects"))
+        return answer(df, False, "Search term is required.", F.lit(0), F.array(), F.array())
     ranges = scan_collections(df, content, targets, keep=keep, include_content=True, hashes=False, validate_utf8=False, validate_structure=False)
     hits = search(build_index(ranges, keep=keep, fields=fields, ngrams=ngrams), term.lower(), keep=keep)
     found = ranges.join(hits, [*keep, "start_position"], "left_semi")
@@ -68,10 +98,11 @@ def search_response(df: DataFrame, content: str, targets: Sequence[str] | None,
     taken = F.when(F.col("_n") <= max(1, max_results), F.struct("start_position", "length", "item_index", F.col("content").alias("json_content")))
     answers = ranked.groupBy(*keep).agg(F.count("*").alias("total_matches"), F.sort_array(F.collect_list("start_position")).alias("offsets"), F.array_sort(F.collect_list(taken)).alias("objects"))
     every = df.select(*keep).join(answers, list(keep), "left")
-    kinds = dict(answers.dtypes)
-    return every.select(*keep, F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), F.coalesce("total_matches", F.lit(0)).alias("total_matches"), *(F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("offsets", "objects")))
+    none = F.array().cast("array<bigint>"), F.array().cast(objects)
+    return answer(every, True, None, F.coalesce("total_matches", F.lit(0)), F.coalesce("offsets", none[0]), F.coalesce("objects", none[1]))
 
 
 def validate_response(df: DataFrame, content: str, *, keep: Sequence[str] = ()) -> DataFrame:
     """keep, success, error and the columns of validation_report()."""
-    return validation_report(df, content, keep=keep).select(*keep, F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), "is_valid_utf8", "utf8_error", "is_valid_structure", "bytes_checked")
+    report = validation_report(df, content, keep=keep)
+    return report.select(*keep, F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), *report.columns[len(keep) :])
