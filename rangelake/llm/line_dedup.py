@@ -19,17 +19,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangelake.llm.common import cut, key_filter, may_have, ready
+from rangelake.llm.common import SPACES, cut, key_filter, may_have, ready
 from rangelake.llm.minhash import STEP, mix
 
 #: Words that a unit has at least: fewer may well meet again by chance, or as a common line of many pages.
 LEAST_WORDS = 20
-#: Tiles a line: up to the end of a run of stops, or up to the line's end.
-SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+#: Ends a piece within a line: a stop that isn't followed by another one.
+JOINED = re.compile(r"([.!?])(?=[^.!?\x20\x09-\x0D])")
+#: By ASCII character: 1 for a stop, 2 for white space; what isn't ASCII counts as the last.
+KINDS, BREAK = np.array([1 if chr(k) in ".!?" else 2 if chr(k) in SPACES else 0 for k in range(128)], np.uint8), ord("\n")
 #: Odd bases of the two halves of a digest, and how many words a worker knows the hashes of.
 BASES, WORDS_KEPT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 200_000
 _powers: dict[int, np.ndarray] = {}
-_words: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = _Words()
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -41,26 +53,26 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def pieces(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(start, end and number of words of each piece with a word, hashes of all words); code points, end exclusive."""
-    starts, ends, counts, hashes = [], [], [], []
-    at = 0
-    if len(_words) > WORDS_KEPT:
-        _words.clear()
-    for line in text.split("\n"):
-        for m in SENTENCE.finditer(line):
-            own = m[0].encode("utf-8", "surrogatepass").lower().split()
-            if own:
-                starts.append(at + m.start())
-                ends.append(at + m.end())
-                counts.append(len(own))
-                for w in own:
-                    h = _words.get(w)
-                    if h is None:
-                        h = _words[w] = xxhash.xxh3_64_intdigest(w)
-                    hashes.append(h)
-        at += len(line) + 1
-    return starts, ends, counts, hashes
+def pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end and number of words of each piece with a word, hashes of all words); code points, end exclusive.
+
+    A piece ends with a run of stops or before the end of its line; a word that goes on behind a stop is
+    two words.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = KINDS[np.minimum(c, 127)]
+    stop, blank = kind == 1, kind == 2
+    begins = np.ones(len(c), bool)
+    begins[1:] = (c[:-1] == BREAK) | (stop[:-1] & ~stop[1:])
+    word = ~blank
+    word[1:] &= blank[:-1] | begins[1:]
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(c))
+    counts = np.add.reduceat(word, starts, dtype=np.int64)
+    ends = ends - (c[ends - 1] == BREAK)
+    have = counts > 0
+    words = JOINED.sub(r"\1 ", text).encode("utf-8", "surrogatepass").lower().split()
+    return starts[have], ends[have], counts[have], np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
 def units(text: str, least: int) -> tuple[np.ndarray, ...] | None:
@@ -75,18 +87,17 @@ def units(text: str, least: int) -> tuple[np.ndarray, ...] | None:
     last = np.searchsorted(upto, upto[:-1] + least, "left") - 1  # of the shortest run from each piece on
     first = np.searchsorted(upto, upto[1:] - least, "right") - 1  # of the shortest run up to each piece
     k = np.arange(len(counts))
-    runs = np.unique(np.concatenate([np.stack([k, last], 1)[last < len(counts)], np.stack([first, k], 1)[first >= 0]]), axis=0)
-    a, b = runs[:, 0], runs[:, 1]
+    n = len(counts)
+    a, b = np.divmod(np.unique(np.concatenate([(k * n + last)[last < n], (first * n + k)[first >= 0]])), n)
     low, high = upto[a], upto[b + 1]
-    h = np.array(hashes, np.uint64)
-    halves = []
+    h, halves = hashes, []
     with np.errstate(over="ignore"):
         for base in BASES:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, len(h)), dtype=np.uint64)])
             back = powers(pow(base, -1, 1 << 64), len(h) + 1)[low]
             halves.append(mix((total[high] - total[low]) * back + (high - low).astype(np.uint64) * STEP).view(np.int64))
             h = mix(h)
-    return np.array(starts)[a], np.array(ends)[b], high - low, *halves
+    return starts[a], ends[b], high - low, *halves
 
 
 def repeated_units(docs: DataFrame, *, least_words: int = LEAST_WORDS) -> DataFrame:
