@@ -11,6 +11,7 @@ from rangelake.llm import minhash
 WORDS = [f"w{k}" for k in range(3000)]
 
 
+
 def components(df, **options):
     return {r.doc_id: r.component_id for r in minhash.near_duplicates(df, **options).collect()}
 
@@ -38,7 +39,7 @@ def templated(n):
     return rows + [(n + k, rows[10 * k][1] + " x") for k in range(n // 10)]
 
 
-@pytest.mark.parametrize("make, exact", [(lambda: near_copies(400, 60), False), (lambda: templated(300), True)])
+@pytest.mark.parametrize("make, exact", [(lambda: near_copies(200, 30), False), (lambda: templated(300), True)])
 def test_large_clusters_are_whole(spark, monkeypatch, make, exact):
     """With small blocks and short lists, so that every path is taken."""
     monkeypatch.setattr(minhash, "BLOCK", 3000)
@@ -64,7 +65,7 @@ def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
         return plain_alike(pairs, *more)
 
     monkeypatch.setattr(minhash, "_alike", alike)
-    n = 1000
+    n = 600
     df = spark.createDataFrame(near_copies(n, n), "doc_id long, text string").repartition(4)
     assert minhash.near_duplicates(df, width=5, percent=80).count() == 2 * n
     assert sum(made) < 25 * n
@@ -79,11 +80,11 @@ def test_templates_make_no_pairs(spark, monkeypatch):
         return plain_links(pairs, *more)
 
     monkeypatch.setattr(minhash, "_links", links)
-    rows = templated(5000)
+    rows = templated(3000)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = components(df, width=5, percent=80)
     assert sum(checked) < 4 * len(rows)
-    assert all(got[5000 + k] == 10 * k for k in range(500)) and len(set(got.values())) == 5000
+    assert all(got[3000 + k] == 10 * k for k in range(300)) and len(set(got.values())) == 3000
 
 
 @pytest.mark.parametrize("sparse", [False, True])
