@@ -328,12 +328,17 @@ def _within(cluster: DataFrame, comp: DataFrame, sets: DataFrame, percent: int)
     """
     own = cluster.withColumnRenamed("comp", "cluster").join(comp, "node", "left").select("node", "cluster", F.coalesce("comp", "node").alias("comp"))
     parts = own.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    torn = parts.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m")).filter("k > 1").select("cluster", F.col("m.comp").alias("main"))
-    member = cut(own.join(torn, "cluster").join(sets, "node").withColumn("other", F.col("comp") != F.col("main")).withColumn("weight", F.greatest(F.size("items"), F.lit(BLOCK // ROWS))))
-    totals = member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(F.sum("weight").alias("total")).filter(F.col("total") > BLOCK).select("cluster")
-    large = member.join(totals, "cluster", "left_semi")
-    if large.isEmpty():
+    torn = (
+        parts.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m"))
+        .filter("k > 1").select("cluster", F.col("m.comp").alias("main"))
+    )
+    weight = F.greatest(F.size("items"), F.lit(BLOCK // ROWS))
+    member = cut(own.join(torn, "cluster").join(sets, "node").withColumns({"other": F.col("comp") != F.col("main"), "weight": weight}))
+    # written first, so that its size is known: a small table doesn't deal members out by cluster, a large one is joined in parts
+    totals = cut(member.groupBy("cluster", F.pmod("cluster", F.lit(2)).alias("_")).agg(F.sum("weight").alias("total")).filter(F.col("total") > BLOCK).select("cluster"))
+    if totals.isEmpty():
         return _merged(comp, _blocks(member, percent))
+    large = member.join(totals, "cluster", "left_semi")
     items = large.select("cluster", "node", F.explode("items").alias("item"))
     often = items.groupBy("cluster", "item", F.pmod("item", F.lit(2)).alias("_")).agg(F.count("*").alias("df")).drop("_")
     ranked = items.join(often, ["cluster", "item"]).groupBy("cluster", "node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("r"))
@@ -366,8 +371,10 @@ def _blocks(member: DataFrame, percent: int) -> DataFrame:
     x = F.when(F.col("all_blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(small)) - F.lit(small)).otherwise(F.col("cluster"))
     row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("other_blocks"))
     column = F.pmod(F.xxhash64("node", F.lit(2)), F.col("all_blocks"))
-    as_other = placed.filter("other").withColumn("y", F.explode(F.expr("transform(sequence(0L, all_blocks - 1), k -> k)"))).select(x.alias("x"), (row * F.col("all_blocks") + F.col("y")).alias("y"), "cluster", "node", "comp", "items", F.lit(True).alias("left"))
-    as_any = placed.withColumn("y", F.explode(F.expr("transform(sequence(0L, other_blocks - 1), k -> k)"))).select(x.alias("x"), (F.col("y") * F.col("all_blocks") + column).alias("y"), "cluster", "node", "comp", "items", F.lit(False).alias("left"))
+    numbers = lambda n: F.explode(F.expr(f"transform(sequence(0L, {n} - 1), k -> k)"))
+    columns = x.alias("x"), "cluster", "node", "comp", "items"
+    as_other = placed.filter("other").withColumn("y", numbers("all_blocks")).select((row * F.col("all_blocks") + F.col("y")).alias("y"), *columns, F.lit(True).alias("left"))
+    as_any = placed.withColumn("y", numbers("other_blocks")).select((F.col("y") * F.col("all_blocks") + column).alias("y"), *columns, F.lit(False).alias("left"))
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
