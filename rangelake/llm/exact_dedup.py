@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rangelake.llm.common import ascii_lower, key_filter, may_have, ready
 
 PREFIX_CHARS = 64
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, *, all_digests: bool = False) -> DataFrame:
@@ -28,8 +29,7 @@ def exact_dedup(docs: DataFrame, *, all_digests: bool = False) -> DataFrame:
     columns of docs with the names added here are replaced. An empty table gives no rows.
     """
     ready(docs.sparkSession)
-    added = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64(F.octet_length(text), ascii_lower(F.left(text, F.lit(PREFIX_CHARS))))
     sized = docs.select(F.octet_length(text).alias("_len"), key.alias("_key"))
@@ -49,4 +49,17 @@ def exact_dedup(docs: DataFrame, *, all_digests: bool = False) -> DataFrame:
         "keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")),
         "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
         "kept": F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")),
-    }).select(*docs.columns, *added)
+    }).select(*docs.columns, *ADDED)
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts: one that exact_dedup() keeps.
+
+    Of rows that repeat one doc_id and a text equal but for case, any one stays. Only rows of groups are
+    shuffled, after each task has left one row a group.
+    """
+    own = {c: f"_own_{c}" if c in ADDED else c for c in docs.columns}
+    found = exact_dedup(docs.withColumnsRenamed(own)).filter("kept")
+    columns = [F.col(name).alias(c) for c, name in own.items()]
+    several = found.filter("group_size > 1").dropDuplicates(["keep_id", "text_sha256"])
+    return found.filter("group_size = 1").select(columns).union(several.select(columns))

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from rangelake.llm import langid, minhash, packing, quality_gam, quality_rules, secrets
 from rangelake.llm.bpe import ByteBPE, RankBPE, bpe_decode, bpe_encode
 from rangelake.llm.docstats import FEATURES, describe
-from rangelake.llm.exact_dedup import exact_dedup
+from rangelake.llm.exact_dedup import drop_exact_duplicates, exact_dedup
 from rangelake.llm.line_dedup import repeated_units, without_repeats
 from rangelake.llm.token_counts import ChunkCounter, token_counts
 
@@ -90,7 +90,11 @@ def test_exact_dedup(odd, corpus, nothing):
         assert part.columns == [c for c in df.columns if c != "kept"] + ["keep_id", "group_size", "kept", "text_sha256"]
         same([r[:4] for r in part.select("doc_id", "keep_id", "group_size", "kept").collect()], [r[:4] for r in brute.exact(rows_of(df))])
         assert part.filter("group_size > 1 and text_sha256 is null").count() == 0
-    assert exact_dedup(nothing).count() == 0
+        left = drop_exact_duplicates(df)
+        assert left.columns == df.columns
+        want = {brute.lower(t or ""): keep for (_, keep, *_), (_, t) in zip(brute.exact(rows_of(df)), rows_of(df))}
+        same([(r.doc_id, brute.lower(r.text or "")) for r in left.collect()], [(i, t) for t, i in want.items()])
+    assert exact_dedup(nothing).count() == drop_exact_duplicates(nothing).count() == 0
 
 
 @pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
