@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rangelake.llm.common import folder, remove, table
-from rangelake.llm.exact_dedup import exact_dedup
+from rangelake.llm.exact_dedup import drop_exact_duplicates
 from rangelake.llm.minhash import drop_near_duplicates
 from rangelake.llm.packing import pack_documents
 from rangelake.llm.quality_rules import fit_quality_rules, quality_rules
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    return exact_dedup(docs).filter("kept").select(docs.columns)
+    """Of equal texts the one with the largest doc_id stays, and one row of those that repeat it."""
+    return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
