@@ -175,16 +175,24 @@ def fit_unigrams(docs: DataFrame, path: str, *, rounds: int = ROUNDS, smooth: fl
     ready(spark)
 
     def count(batches):
-        held: Counter = Counter()
+        held: dict[str, Counter] = defaultdict(Counter)
+        size = 0
+
+        def given():
+            for lang, counts in held.items():
+                yield pd.DataFrame({"lang": lang, "word": list(counts), "n": list(counts.values())})
+
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
-                for w in words_of(text):
-                    held[lang, w] += 1
-                if len(held) > TABLE_SIZE:
-                    yield pd.DataFrame([(a, w, n) for (a, w), n in held.items()], columns=["lang", "word", "n"])
+                counts = held[lang]
+                size -= len(counts)
+                counts.update(words_of(text))
+                size += len(counts)
+                if size > TABLE_SIZE:
+                    yield from given()
                     held.clear()
-        if held:
-            yield pd.DataFrame([(a, w, n) for (a, w), n in held.items()], columns=["lang", "word", "n"])
+                    size = 0
+        yield from given()
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     words = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
