@@ -1,8 +1,10 @@
 """Byte ranges of JSON objects: named array collections, and the first array at a dotted path.
 
-A small Arrow kernel finds offsets; content and hashes are JVM expressions over the document's bytes,
-so Catalyst drops them when they aren't used. `inline_outer` with a filter, not `inline`, is used on the
-kernel's result: `inline` makes the optimizer infer a size predicate and run the kernel twice.
+A small Arrow kernel finds offsets; content and hashes are JVM expressions over an object's bytes, so
+Catalyst drops them when they aren't used. These bytes are cut out of the document before its ranges
+become rows: a row that carried its whole document would, at the next Python function, sort or shuffle,
+cost as much as the document. `inline_outer` with a filter, not `inline`, is used on the kernel's result:
+`inline` makes the optimizer infer a size predicate and run the kernel twice.
 """
 
 from __future__ import annotations
@@ -79,10 +81,17 @@ def _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_err
     return run
 
 
-def _exploded(df: DataFrame, content: str, udf, keep: Sequence[str]) -> DataFrame:
+def _exploded(df: DataFrame, content: str, udf, keep: Sequence[str], pieces: bool) -> DataFrame:
+    """keep, the range columns and, if pieces, _piece: the object's bytes, null if it was too large or cut off. The document stays behind."""
     found = df.select(*keep, binary(content).alias("_content"), udf(binary(content)).alias("_r"))
-    found = found.select(*keep, "_content", F.col("_r.ranges").alias("_ranges"))
-    return found.select(*keep, "_content", F.inline_outer("_ranges")).filter(F.col("start_position").isNotNull())
+
+    def cut(document: Column, r: Column) -> Column:
+        whole = (r["length"] > 0) & F.coalesce(~r["error"].startswith("Object size"), F.lit(True))
+        return F.struct(*(r[n].alias(n) for n in _NAMES), F.when(whole, slice_bytes(document, r["start_position"], r["length"])).alias("_piece"))
+
+    # the outer transform binds the document: the optimizer would put the expression that makes it into the inner one, once for each range
+    cuts = F.element_at(F.transform(F.array("_content"), lambda d: F.transform("_r.ranges", lambda r: cut(d, r))), 1)
+    return found.select(*keep, F.inline_outer(cuts if pieces else F.col("_r.ranges"))).filter(F.col("start_position").isNotNull())
 
 
 def _doc_errors(df: DataFrame, content: str, udf, keep: Sequence[str]) -> DataFrame:
@@ -92,12 +101,10 @@ def _doc_errors(df: DataFrame, content: str, udf, keep: Sequence[str]) -> DataFr
 
 def _with_bytes(ranges: DataFrame, keep: Sequence[str], include_content: bool, hashes: bool, *more: Column) -> DataFrame:
     """The range columns; rows whose object was too large or cut off have neither content nor hash."""
-    whole = (F.col("length") > 0) & F.coalesce(~F.col("error").startswith("Object size"), F.lit(True))
-    piece = slice_bytes("_content", "start_position", "length")
     return ranges.select(
         *keep, *more, "item_index", "start_position", "length", (F.col("start_position") + F.col("length")).alias("end_position"),
-        (F.when(whole, F.md5(piece)) if hashes else F.lit(None).cast("string")).alias("hash"),
-        (F.when(whole, F.decode(piece, "UTF-8")) if include_content else F.lit(None).cast("string")).alias("content"), "error",
+        (F.md5("_piece") if hashes else F.lit(None).cast("string")).alias("hash"),
+        (F.decode("_piece", "UTF-8") if include_content else F.lit(None).cast("string")).alias("content"), "error",
     )
 
 
@@ -112,7 +119,7 @@ def scan_collections(
     continue_on_error is false; they take an index either way. Documents that fail as a whole give no
     rows: see scan_errors. Null documents give none.
     """
-    found = _exploded(df, content, _collections_udf(targets, validate_utf8, validate_structure, max_object_size, continue_on_error), keep)
+    found = _exploded(df, content, _collections_udf(targets, validate_utf8, validate_structure, max_object_size, continue_on_error), keep, include_content or hashes)
     return _with_bytes(found, keep, include_content, hashes, F.col("collection"), F.col("collection").alias("object_type"), F.col("activation"))
 
 
@@ -135,7 +142,7 @@ def extract_path(
     and take no index; a single token over both that limit and buffer_size fails its document. Documents
     that fail, or aren't JSON up to the array's end, give no rows: see path_errors.
     """
-    found = _exploded(df, content, _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error, buffer_size), keep)
+    found = _exploded(df, content, _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_error, buffer_size), keep, include_content or hashes)
     return _with_bytes(found, keep, include_content, hashes, F.lit(json_path).alias("json_path"))
 
 

@@ -54,6 +54,19 @@ def test_content_is_pruned_when_unused(docs):
     assert "md5" not in plan and "decode" not in plan
 
 
+def test_rows_do_not_carry_their_document(spark):
+    """Neither the ranges' rows nor the expressions evaluated for each of them know the whole document."""
+    made = spark.range(2).select("id", F.concat(F.lit('{"shows":['), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit('{"a":'), i, F.lit("}"))), ","), F.lit("]}")).cast("binary").alias("content"))
+    plan = scan(made, keep=("id",)).for_collections("shows")
+    for got in (plan.extract_properties(F.from_json("content", "map<string,string>")).run(), plan.extract_properties(lambda t: json.loads(t)).run(), extract(made, "shows", keep=("id",)).run()):
+        nodes = got._jdf.queryExecution().optimizedPlan()
+        while nodes.nodeName() != "Generate":
+            assert "_content" not in nodes.output().mkString(",") and "concat" not in nodes.simpleString(1000)
+            nodes = nodes.children().apply(0)
+        assert "_content" not in nodes.output().mkString(",") and nodes.simpleString(10000).count("concat(") <= 1
+        assert {(r.id, r.item_index) for r in got.collect()} == {(k, i) for k in range(2) for i in range(3)}
+
+
 def test_targets(docs):
     with pytest.raises(ValueError):
         sc.scan_collections(docs, "content", ["a", "A"])
