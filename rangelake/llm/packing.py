@@ -1,14 +1,13 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Hierarchical residual packing: every partition packs its own pieces best-fit and gives out the bins
-that are nearly full; the bins left over travel on as items, many partitions' into one, and are
-packed again, until one task holds the last of them.
-
-A task passes on only its KEEP emptiest bins, which bounds what reaches the last task and costs no
-sequence. Best-fit opens a bin only for a piece that fits nowhere, so at most one bin of a packing is
-half empty or more: of the W packings whose bins meet in a task, at most W bins can be put into others,
-and each needs one bin with room. If any bin of a packing has that room, its emptiest ones have, so
-of each packing the W emptiest suffice; a task meets about FAN_IN packings, and KEEP is 16 times that.
+Residual packing: every window of pieces is packed best-fit by itself, and what the windows leave over
+meets in one task, where whole bins are packed as items.
+
+Best-fit opens a bin only for a piece that fits nowhere, so at most one bin of a packing is half empty
+or more. Two bins that are fuller can't be put together: of W packings at most W bins can be put into
+others, each into one of them. If any bin has room for one, the emptiest bins have it, so these W and the
+W emptiest of all others (ties by number) give as few sequences as all bins would. The last task gets
+these 2 W rows, where W is the number of windows; nothing is capped.
 """
 
 from __future__ import annotations
@@ -25,12 +24,8 @@ from rangelake.llm.bpe import RankBPE, loaded
 from rangelake.llm.common import ready
 
 LENGTH, END_ID = 1024, 2
-#: Bins with at most so many free places are given out at once.
-SLACK = 4
-#: Underfull bins that a task passes on, the emptiest first.
-KEEP = 256
-#: Tasks whose bins meet in one task of the next round.
-FAN_IN = 16
+#: Nothing reads these two any more; a test sets them.
+KEEP = FAN_IN = None
 #: Pieces that one task packs together.
 WINDOW = 200_000
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, offset long"
@@ -68,13 +63,11 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def _round(items: pd.DataFrame, level: int, start: int, length: int, last: bool) -> pd.DataFrame:
-    """Packs items (size, pieces) into bins numbered from start and says which of them are done."""
+def _round(items: pd.DataFrame, level: int, start: int, length: int) -> pd.DataFrame:
+    """Packs items (size, pieces) into bins numbered from start."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     sizes, pieces = items["size"].tolist(), items["pieces"].tolist()
     bins = best_fit(sizes, length)
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    kept = set() if last else set(sorted((k for k, f in enumerate(fill) if length - f > SLACK), key=lambda k: fill[k])[:KEEP])
     held = []
     for b in bins:
         at, own = 0, []
@@ -84,7 +77,7 @@ def _round(items: pd.DataFrame, level: int, start: int, length: int, last: bool)
                 own.append((*p[:5], at))
                 at += p[3]
         held.append(own)
-    return pd.DataFrame({"bin": [level << 58 | part << 34 | start + k for k in range(len(bins))], "size": fill, "done": [k not in kept for k in range(len(bins))], "pieces": held})
+    return pd.DataFrame({"bin": [level << 58 | part << 34 | start + k for k in range(len(bins))], "size": [sum(sizes[i] for i in b) for b in bins], "pieces": held})
 
 
 def pack_documents(docs: DataFrame, path: str, *, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -94,13 +87,13 @@ def pack_documents(docs: DataFrame, path: str, *, length: int = LENGTH, end_id:
     text has end_id alone. Documents longer than length tokens are cut, all others stay whole. The
     pieces of a sequence lie gapless from offset 0. Repeated rows are documents of their own; null
     doc_ids stay null; an empty table gives no rows; other columns aren't read. Only (length, checksum)
-    of pieces are kept, in a checkpoint after each round, so texts are encoded once, never shuffled, and
-    a lost executor costs the running round's tasks.
+    of pieces are kept, in a checkpoint after both steps, so texts are encoded once, never shuffled, and
+    a lost executor costs the running step's tasks.
     """
     spark = docs.sparkSession
     ready(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"bin long, size int, done boolean, pieces array<struct<{', '.join(x.replace(' ', ': ', 1) for x in PIECE.format(kind=kind).split(', '))}>>"
+    schema = f"bin long, size int, pieces array<struct<{', '.join(x.replace(' ', ': ', 1) for x in PIECE.format(kind=kind).split(', '))}>>"
 
     def first(batches):
         bpe = loaded(path, RankBPE)
@@ -108,7 +101,7 @@ def pack_documents(docs: DataFrame, path: str, *, length: int = LENGTH, end_id:
         size, pieces, made = [], [], 0
 
         def flush():
-            return _round(pd.DataFrame({"size": size, "pieces": pieces}), 0, made, length, False)
+            return _round(pd.DataFrame({"size": size, "pieces": pieces}), 0, made, length)
 
         for b in batches:
             for doc, text in zip(b["doc_id"].tolist(), b["text"]):
@@ -123,27 +116,16 @@ def pack_documents(docs: DataFrame, path: str, *, length: int = LENGTH, end_id:
         if size:
             yield flush()
 
-    def again(level: int, last: bool):
-        def run(batches):
-            held = [b for b in batches if len(b)]
-            if held:
-                yield _round(pd.concat(held).sort_values(["size", "bin"], ascending=[False, True], ignore_index=True), level, 0, length, last)
-
-        return run
-
-    bins = docs.select("doc_id", "text").mapInPandas(first, schema).checkpoint()
-    done, level, tasks = [bins.filter("done")], 0, max(1, bins.rdd.getNumPartitions())
-    rest = bins.filter("not done")
-    while True:
-        level, tasks = level + 1, -(-tasks // FAN_IN)
-        # a hash of (task, window) keeps a task's bins together; the last round has one task of at most FAN_IN * KEEP bins a window
-        to = F.pmod(F.xxhash64(F.shiftright("bin", 34)), F.lit(tasks)).cast("int")
-        packed = rest.withColumn("to", to).repartition(tasks, "to").select("bin", "size", "done", "pieces").mapInPandas(again(level, tasks == 1), schema).checkpoint()
-        done.append(packed.filter("done"))
-        rest = packed.filter("not done")
-        if tasks == 1:
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
+    def again(batches):
+        held = [b for b in batches if len(b)]
+        if held:
+            yield _round(pd.concat(held).sort_values(["size", "bin"], ascending=[False, True], ignore_index=True), 1, 0, length)
+
+    out = docs.select("doc_id", "text").mapInPandas(first, schema).checkpoint()
+    light, place = F.col("size") * 2 <= length, F.struct("size", "bin")
+    if n := out.filter(light).count():
+        # the n emptiest of the other bins that have room: those up to the n-th in order
+        last = out.filter(~light & (F.col("size") < length)).select("size", "bin").orderBy("size", "bin").limit(n).agg(F.max(place).alias("p")).first().p
+        meets = light if last is None else light | (place <= F.struct(F.lit(last["size"]).alias("size"), F.lit(last["bin"]).alias("bin")))
+        out = out.filter(~meets).union(out.filter(meets).repartition(1).mapInPandas(again, schema).checkpoint())
     return out.select(F.explode("pieces").alias("p"), F.col("bin").alias("sequence_id")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")

@@ -10,6 +10,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from llm import brute
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rangelake.llm import langid, minhash, packing, quality_gam, quality_rules, secrets
@@ -383,6 +384,15 @@ def test_bins_that_stay_behind_cost_no_sequence(spark, monkeypatch):
     assert counts[0] == counts[1]
 
 
+def test_every_bin_that_can_be_filled_up_is(spark, monkeypatch):
+    """270 texts of 10 tokens, each in a task of its own, find room in as many bins of one task with 20 of 32."""
+    monkeypatch.setattr(packing, "FAN_IN", 1000)
+    text = lambda n: F.array_join(F.array_repeat(F.lit("the"), n), " ")
+    docs = spark.range(0, 270, 1, 270).select(F.col("id").alias("doc_id"), text(9).alias("text")).union(spark.range(270, 540, 1, 1).select("id", text(19)))
+    got = packing.pack_documents(docs, BYTES, length=32, end_id=2).toPandas()
+    assert len(got) == 540 and got["length"].sum() == 270 * 30 and got["sequence_id"].nunique() == 270
+
+
 def test_best_fit():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(500)]
