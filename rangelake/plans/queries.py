@@ -166,6 +166,13 @@ def _written(spark, d, kind: str) -> str:
     return at
 
 
+def _written_lines(spark, d, kind: str) -> str:
+    """A folder of files with a document on each line, for kinds of which there are as many as the table grows."""
+    at = _shared(spark)
+    docs(spark, d, kind).select(F.col("content").cast("string").alias("value")).write.text(at)
+    return at
+
+
 def _index_stream(spark, d):
     at = _shared(spark)
     docs(spark, d, "part").select(F.col("content").cast("string").alias("value")).write.text(f"{at}/docs")

@@ -375,3 +375,19 @@ def test_entry_without_the_llm_folders(spark, monkeypatch):
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
     assert "scan_turns" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
+
+
+def test_chunked_lines_and_small_files(spark, tmp_path):
+    """Lines are documents of their own, also behind one that fails or ends early, and small files share a task."""
+    spark.dataSource.register(JsonRangesSource)
+    lines = [b'{"shows":[{"a":1},{"b":"\xc3\xa9"}]}', b"", b'{"shows":[{"a"', b'{"shows":[{"a":1}]}\xc3\x28 and more', b'{"shows":[{"c":3}],"x":[{"d":4}]}']
+    for k in range(40):
+        (tmp_path / f"{k}.json").write_bytes(b"\n".join(lines[k % 5 :]))
+    for size in (1, 5, 50, 1 << 20):
+        df = spark.read.format("json_ranges").options(path=str(tmp_path), targets="shows", lines=True, chunkSize=size, includeContent=True, hashes=True).load()
+        assert df.rdd.getNumPartitions() == 1
+        got = [(r.item_index, r.start_position, r.content, (r.error or "")[:12]) for r in df.collect() if r.path.endswith("/0.json")]
+        assert got[:3] == [(0, 10, '{"a":1}', ""), (1, 18, '{"b":"é"}', ""), (0, 10, None, "Invalid JSON")]
+        assert got[-1] == (0, 10, '{"c":3}', "") and sum(g[3] == "Scan failed:" for g in got) == 1
+    path = spark.read.format("json_ranges").options(path=str(tmp_path / "0.json"), jsonPath="shows", lines=True, chunkSize=4).load()
+    assert [r.start_position for r in path.collect() if r.error is None][-1] == 10
