@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
@@ -12,6 +12,15 @@ from rangelake import kernel
 
 #: The four bytes that end something in JSON text; a byte pattern of UTF-8 that precedes them can't hide them.
 DELIMITERS = b'{}"\\'
+#: A batch for a Python worker ends at so many bytes; a worker holds its batch several times, as bytes, objects and results.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session sends batches of at most BATCH_BYTES to Python workers, unless it has set a number of its own. A larger document is a batch by itself."""
+    if not df.sparkSession._jsparkSession.conf().contains(BATCH_CONF):
+        df.sparkSession.conf.set(BATCH_CONF, BATCH_BYTES)
+    return df
 
 
 def binary(c: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.functions import arrow_udf
 
 from rangelake import kernel
 from rangelake.functions import match, tokenize
+from rangelake.functions.json import bounded
 from rangelake.operators.scan import scan_collections
 
 MAX_FETCH_SIZE = 1024 * 1024
@@ -35,7 +36,7 @@ def _field_strings_udf(fields: Sequence[str]):
 
 def field_strings(df: DataFrame, content: str = "content", fields: Sequence[str] = (), *, keep: Sequence[str] = ()) -> DataFrame:
     """keep, field, number and value: the strings below the top-level fields named, or below all; malformed objects give none."""
-    return df.select(*keep, F.inline_outer(_field_strings_udf(fields)(F.col(content)))).filter(F.col("value").isNotNull())
+    return bounded(df).select(*keep, F.inline_outer(_field_strings_udf(fields)(F.col(content)))).filter(F.col("value").isNotNull())
 
 
 def build_index(

@@ -18,7 +18,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from rangelake import kernel
-from rangelake.functions.json import binary, slice_bytes
+from rangelake.functions.json import binary, bounded, slice_bytes
 
 RANGE = "struct<collection: string, activation: int, item_index: int, start_position: bigint, length: bigint, error: string>"
 RESULT = f"struct<doc_error: string, ranges: array<{RANGE}>>"
@@ -83,7 +83,7 @@ def _path_udf(json_path, strict, validate_utf8, max_object_size, continue_on_err
 
 def _exploded(df: DataFrame, content: str, udf, keep: Sequence[str], pieces: bool) -> DataFrame:
     """keep, the range columns and, if pieces, _piece: the object's bytes, null if it was too large or cut off. The document stays behind."""
-    found = df.select(*keep, binary(content).alias("_content"), udf(binary(content)).alias("_r"))
+    found = bounded(df).select(*keep, binary(content).alias("_content"), udf(binary(content)).alias("_r"))
 
     def cut(document: Column, r: Column) -> Column:
         whole = (r["length"] > 0) & F.coalesce(~r["error"].startswith("Object size"), F.lit(True))
@@ -96,7 +96,7 @@ def _exploded(df: DataFrame, content: str, udf, keep: Sequence[str], pieces: boo
 
 def _doc_errors(df: DataFrame, content: str, udf, keep: Sequence[str]) -> DataFrame:
     """keep and doc_error, where there is one; the generator keeps the filter from going below the kernel and running it twice."""
-    return df.select(*keep, F.explode_outer(F.array(udf(binary(content))["doc_error"])).alias("doc_error")).filter(F.col("doc_error").isNotNull())
+    return bounded(df).select(*keep, F.explode_outer(F.array(udf(binary(content))["doc_error"])).alias("doc_error")).filter(F.col("doc_error").isNotNull())
 
 
 def _with_bytes(ranges: DataFrame, keep: Sequence[str], include_content: bool, hashes: bool, *more: Column) -> DataFrame:
@@ -173,7 +173,7 @@ def path_stats(
         columns = [pa.array([x[k] for x in ((n, len(found), int(error is not None)) for error, found, n in got)], pa.int64()) for k in range(3)]
         return pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in kind])
 
-    return df.select(key, F.inline_outer(F.array(run(binary(content)))))
+    return bounded(df).select(key, F.inline_outer(F.array(run(binary(content)))))
 
 
 def index_path(df: DataFrame, content: str, json_path: str, *, keep: Sequence[str] = ()) -> DataFrame:
@@ -189,7 +189,7 @@ def _top_level(v: pa.Array) -> pa.Array:
 def detect_collections(df: DataFrame, content: str, *, keep: Sequence[str] = ()) -> DataFrame:
     """keep, position and collection: the array-valued members of root objects, in order; the default names where there are none."""
     names = F.coalesce(_top_level(binary(content)), F.array(*map(F.lit, kernel.DEFAULT_COLLECTIONS)))
-    return df.select(*keep, F.posexplode(names).alias("position", "collection"))
+    return bounded(df).select(*keep, F.posexplode(names).alias("position", "collection"))
 
 
 def with_properties(ranges: DataFrame, extractor: Column | Callable[[str], dict]) -> DataFrame:
@@ -212,7 +212,7 @@ def with_properties(ranges: DataFrame, extractor: Column | Callable[[str], dict]
                 out.append({"p": None, "e": f"Property extraction failed: {e}"})
         return pa.array(out, kind)
 
-    got = ranges.withColumn("_x", run("content"))
+    got = bounded(ranges).withColumn("_x", run("content"))
     return got.withColumn("properties", F.col("_x.p")).withColumn("error", F.coalesce("_x.e", "error") if "error" in ranges.columns else F.col("_x.e")).drop("_x")
 
 
@@ -236,7 +236,7 @@ def scan_stats(
     """
     udf = _collections_udf(targets, validate_utf8, validate_structure, max_object_size, continue_on_error)
     size = F.coalesce(F.octet_length(binary(content)), F.lit(0)).cast("long")
-    found = df.select(key, size.alias("bytes_processed"), udf(binary(content)).alias("_r"))
+    found = bounded(df).select(key, size.alias("bytes_processed"), udf(binary(content)).alias("_r"))
     names = F.array_distinct(F.transform("_r.ranges", lambda r: r["collection"]))
     return found.select(
         key, "bytes_processed", F.size("_r.ranges").cast("long").alias("objects_found"),

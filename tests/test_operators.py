@@ -3,8 +3,10 @@
 import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from rangelake.functions import match, metrics, tokenize
 from rangelake.functions.json import json_valid, utf8_delimiter_safe, valid_delimiter_at
@@ -391,3 +393,22 @@ def test_chunked_lines_and_small_files(spark, tmp_path):
         assert got[-1] == (0, 10, '{"c":3}', "") and sum(g[3] == "Scan failed:" for g in got) == 1
     path = spark.read.format("json_ranges").options(path=str(tmp_path / "0.json"), jsonPath="shows", lines=True, chunkSize=4).load()
     assert [r.start_position for r in path.collect() if r.error is None][-1] == 10
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Python functions of scans, and those behind them, see a few megabytes at a time; a number that the session has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @arrow_udf("long")
+    def together(v: pa.Array) -> pa.Array:
+        return pa.array([v.nbytes] * len(v), pa.int64())
+
+    session = spark.newSession()
+    ours = session.range(0, 60, 1, 1).select("id", F.concat(F.lit('{"shows":[{"a":"'), F.repeat(F.lit("x"), 500_000), F.lit('"}]}')).cast("binary").alias("content"))
+    ranges = sc.scan_collections(ours, "content", ["shows"], include_content=True, hashes=False)
+    assert ranges.select(together("content").alias("n")).agg(F.max("n")).first()[0] < 6_000_000
+    assert session.conf.get(name).startswith("4194304")
+    own = spark.newSession()
+    own.conf.set(name, "9000000")
+    sc.scan_collections(own.createDataFrame([(b"{}",)], "content binary"), "content", ["shows"])
+    assert own.conf.get(name).startswith("9000000")
