@@ -133,7 +133,9 @@ _TOKEN_TEXT = "replace(replace(replace(coalesce(text, ''), ', ', ',\u00a0'), '.
 
 def _tokens(name: str):
     def run(spark, d):
-        rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(tokenize.TOKENIZERS.get(name)(F.expr(_TOKEN_TEXT))).alias("token"))
+        found = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tokenize.TOKENIZERS.get(name)(F.expr(_TOKEN_TEXT)).alias("tokens"))
+        # a column of its own is exploded in generated code; without _outer the optimizer would infer a filter and make the tokens twice
+        rows = found.select("doc_id", F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
         return rows.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
     return run

@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import re
 
 import pyarrow as pa
 import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -18,6 +20,7 @@ from rangelake.operators.table import table_filter, table_sort
 from rangelake.operators.validate import validation_report
 from rangelake.plans import responses as rs
 from rangelake.plans.builder import extract, python_nodes, scan
+from rangelake.plans.queries import QUERIES
 from rangelake.sources import generate as gen
 from rangelake.sources.chunked import JsonRangesSource
 from rangelake.sources.files import exists, foreach_range, from_text, read_documents, read_or_report, write_documents
@@ -216,6 +219,31 @@ def test_tokenizers(spark, name, text, want):
     assert spark.range(1).select(tokenize.TOKENIZERS.get(name)(F.lit(text)).alias("x")).first().x == want
 
 
+@pytest.mark.parametrize("name", tokenize.TOKENIZERS.names())
+def test_tokenizers_look_white_space_up(spark, name):
+    """No pattern has a class beyond ASCII, whose parts are tried in turn for each character: that took most of ngram-2's time. Each kind of white space separates, others don't."""
+    patterns = re.findall(r"regexp_\w+\(.*", spark.range(1).select(tokenize.TOKENIZERS.get(name)(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString())
+    assert patterns and all(re.search(r"\\u|[^\x00-\x7f]", p.replace(tokenize.SPACE, "")) is None for p in patterns)
+    white = [*range(9, 14), 32, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+    rows = spark.createDataFrame([(c, f"aab{chr(c)}{chr(c)}ccd") for c in [*white, 0, 28, 31, 133, 0x180E, 0x200B, 0x1F600]], "c int, t string")
+    for r in rows.select("c", tokenize.TOKENIZERS.get(name)(F.col("t")).alias("x")).collect():
+        two = ["aab", "ccd", *(["aab ccd"] if name == "ngram-2" else [])]
+        assert (r.x == ["aab", "abc", "bcc", "ccd"] if name == "char-ngram-3" else r.x == two) == (r.c in white)
+
+
+@pytest.mark.parametrize("longest, want", [(1, []), (2, ["a b", "b c"]), (3, ["a b", "b c", "a b c"]), (9, ["a b", "b c", "a b c"])])
+def test_ngrams(spark, longest, want):
+    rows = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>").select(tokenize.ngrams(F.col("w"), longest).alias("x")).collect()
+    assert sorted(r.x for r in rows) == sorted([want, [], []])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_tokens_are_made_once(spark):
+    """Tokens are a column of their own, so that exploding and counting them is generated code, and no inferred filter makes them again."""
+    plan = QUERIES["tok_ngram2"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and re.search(r"Generate explode\(tokens#\d+\)", plan)
+
+
 def test_registry():
     r = Registry("thing", a=len)
     assert r.register("b", str).names() == ["a", "b"] and r.active() == "a" and r.set_active("b").get() is str and r.call("a", "xy") == 2
